@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm import bpe, fingerprints, secrets
+from larkspar.llm import bpe, fingerprints, linededup, secrets
 from larkspar.llm.common import read
 
 
@@ -28,10 +28,32 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM split),
+frequent AS (
+  SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE f.k IS NOT NULL AND doc_id <> top) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (f.k IS NOT NULL AND doc_id <> top)), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f ON keyed.k = f.k
+GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
