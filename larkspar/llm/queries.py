@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm import bpe, chat, fingerprints, linededup, secrets, urls
+from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, secrets, urls
 from larkspar.llm.common import read
 
 
@@ -28,6 +28,24 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS shingle FROM (SELECT item_id, w, least(5, len(w)) AS size, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM items),
+shingles AS (SELECT DISTINCT doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS shingle FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+lengths AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY item_id)
+SELECT s.doc_id, i.item_id, n_item, count(*) AS n_shared, count(*) / CAST(n_item AS DOUBLE) AS containment
+FROM shingles s JOIN items i ON s.size = i.size AND s.shingle = i.shingle JOIN lengths l ON i.item_id = l.item_id
+GROUP BY s.doc_id, i.item_id, n_item HAVING count(*) * 5 >= n_item * 4
+"""
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -145,9 +163,10 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op5_decontamination": op5_decontamination,
     "op7_chat": op7_chat,
     "op8_line_dedup": op8_line_dedup,
     "op9_urls": op9_urls,
 }
 
-SQL: dict[str, str] = {"op7_chat": _op7_sql(), "op8_line_dedup": OP8_SQL, "op9_urls": OP9_SQL}
+SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op7_chat": _op7_sql(), "op8_line_dedup": OP8_SQL, "op9_urls": OP9_SQL}
