@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, secrets, urls
+from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, neardedup, secrets, urls
 from larkspar.llm.common import read
 
 
@@ -104,6 +104,10 @@ FROM keyed LEFT JOIN frequent f ON keyed.k = f.k
 GROUP BY doc_id
 """
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardedup.link(read(spark, sf_dir, "documents"), size=2)
+
+
 RULES = urls.rules("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 
@@ -167,6 +171,7 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_line_dedup": op8_line_dedup,
     "op9_urls": op9_urls,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op7_chat": _op7_sql(), "op8_line_dedup": OP8_SQL, "op9_urls": OP9_SQL}
