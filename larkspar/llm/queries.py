@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, neardedup, secrets, urls
+from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, lm, neardedup, secrets, urls
 from larkspar.llm.common import read
 
 
@@ -46,6 +46,11 @@ GROUP BY s.doc_id, i.item_id, n_item HAVING count(*) * 5 >= n_item * 4
 """
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), train)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -168,6 +173,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
+    "op6_lm": op6_lm,
     "op7_chat": op7_chat,
     "op8_line_dedup": op8_line_dedup,
     "op9_urls": op9_urls,
