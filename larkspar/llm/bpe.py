@@ -1,8 +1,8 @@
 """Byte-level BPE by a rank queue.
 
 A pre-token is a linked list of parts. For each merge rank there is a bucket of list positions whose pair has that rank; a
-hierarchical bitmap over the ranks (64 ranks a word, a summary bit a word, and so on up to one word) says which buckets hold
-something, so the next rank is found by a find-first-set on each level instead of a scan or a heap. A popped position is stale, and
+hierarchical bitmap over the ranks (words of about the square root of the ranks in bits, and one summary bit a word) says which buckets hold
+something, so the next rank is found by a find-first-set on each level instead of a scan or a heap of all pairs. A popped position is stale, and
 skipped, if its pair has changed since. The work is near n log n for a pre-token of n bytes, so a pre-token of a million letters does not take quadratic time.
 
 Rows: null and empty texts have no tokens. Repeated rows stay. Columns other than the id and the text are not read.
@@ -29,55 +29,6 @@ MEMO = 600_000
 MEMO_BYTES = 64
 
 
-class RankQueue:
-    """A priority queue of (rank, position), ranks below ``size``: buckets under a hierarchical bitmap."""
-
-    def __init__(self, size: int):
-        self.levels: list[list[int]] = []
-        n = max(size, 1)
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: list[list[int] | None] = [None] * size
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word = at >> 6
-            had = level[word]
-            level[word] = had | 1 << (at & 63)
-            if had:
-                return
-            at = word
-
-    def first(self) -> int:
-        """The smallest rank that has a position; -1 if there is none."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1
-            at = at << 6 | ((word & -word).bit_length() - 1)
-        return at
-
-    def clear(self, rank: int) -> None:
-        self.buckets[rank] = None
-        at = rank
-        for level in self.levels:
-            word = at >> 6
-            level[word] &= ~(1 << (at & 63))
-            if level[word]:
-                return
-            at = word
-
-
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a tiktoken file: a base64 token and its rank on each line."""
     with open(path, "rb") as f:
@@ -97,57 +48,95 @@ class Encoder:
         self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
         if min(self.of_byte) < 0:
             raise ValueError("the ranks lack some single bytes")
-        self.queue = RankQueue(self.size)
+        self.words = [i.to_bytes(4, "little") for i in range(self.size)]
+        # Of the queue, empty between pre-tokens: the bucket of each rank, the bitmap's lower level and the shift and bits of its words.
+        self.shift = ((self.size - 1).bit_length() + 1) // 2
+        self.bits = [1 << k for k in range(1 << self.shift)]
+        self.low = [0] * (1 << self.shift)
+        self.buckets: list[list[int] | None] = [None] * self.size
+        #: Rank of the token that two adjacent tokens make, -1 if they make none, by left * size + right.
         self.pairs: dict[int, int] = {}
         self.memo: dict[str, bytes] = {}
 
-    def pair_rank(self, left: int, right: int) -> int:
-        """Rank of the token that two adjacent tokens make; -1 if they make none. Remembered by the pair."""
-        key = left * self.size + right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.vocab[left] + self.vocab[right], -1)
+    def _pair(self, key: int) -> int:
+        """Look a pair up that ``pairs`` lacks."""
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        left, right = divmod(key, self.size)
+        rank = self.pairs[key] = self.ranks.get(self.vocab[left] + self.vocab[right], -1)
         return rank
 
     def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
+        """Token ids of one pre-token. The queue's steps are written out here, since a call for each would take longer than the step."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        of_byte, pair_rank, queue = self.of_byte, self.pair_rank, self.queue
-        push, buckets = queue.push, queue.buckets
+        known, look, size = self.pairs.get, self._pair, self.size
+        buckets, low, bits, shift, mask = self.buckets, self.low, self.bits, self.shift, (1 << self.shift) - 1
+        of_byte = self.of_byte
         token = [of_byte[b] for b in piece]
         end = len(token)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        pending = [-1] * end  # rank of the pair that starts at a position; -1: none, or the position is gone
+        pending = []  # rank of the pair that starts at a position; -1: none, or the position is gone
+        top = 0
         for i in range(end - 1):
-            rank = pending[i] = pair_rank(token[i], token[i + 1])
+            rank = known(key := token[i] * size + token[i + 1])
+            if rank is None:
+                rank = look(key)
+            pending.append(rank)
             if rank >= 0:
-                push(rank, i)
-        while (rank := queue.first()) >= 0:
+                if (bucket := buckets[rank]) is not None:
+                    bucket.append(i)  # in order of position, so a heap
+                else:
+                    buckets[rank] = [i]
+                    low[w := rank >> shift] |= bits[rank & mask]
+                    top |= bits[w]
+        pending.append(-1)
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = low[w]
+            rank = w << shift | ((word & -word).bit_length() - 1)
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                queue.clear(rank)
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                buckets[rank] = None
+                low[w] = word = word & (word - 1)
+                if not word:
+                    top ^= bits[w]
             if pending[i] != rank:
                 continue  # stale
             gone = after[i]
             token[i] = rank
+            pending[gone] = pending[i] = -1
             follow = after[i] = after[gone]
-            pending[gone] = -1
             if follow < end:
                 before[follow] = i
-                new = pending[i] = pair_rank(rank, token[follow])
+                new = known(key := rank * size + token[follow])
+                if new is None:
+                    new = look(key)
                 if new >= 0:
-                    push(new, i)
-            else:
-                pending[i] = -1
-            if (back := before[i]) >= 0:
-                new = pending[back] = pair_rank(token[back], rank)
+                    pending[i] = new
+                    if (bucket := buckets[new]) is not None:
+                        heappush(bucket, i)
+                    else:
+                        buckets[new] = [i]
+                        low[w := new >> shift] |= bits[new & mask]
+                        top |= bits[w]
+            back = before[i]
+            if back >= 0:
+                new = known(key := token[back] * size + rank)
+                if new is None:
+                    new = look(key)
+                pending[back] = new
                 if new >= 0:
-                    push(new, back)
+                    if (bucket := buckets[new]) is not None:
+                        heappush(bucket, back)
+                    else:
+                        buckets[new] = [back]
+                        low[w := new >> shift] |= bits[new & mask]
+                        top |= bits[w]
         out, i = [], 0
         while i < end:
             out.append(token[i])
@@ -156,7 +145,7 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        memo, pieces = self.memo, self.split(text)
+        memo, pieces, words = self.memo, self.split(text), self.words
         try:
             return b"".join(map(memo.__getitem__, pieces))
         except KeyError:
@@ -166,7 +155,7 @@ class Encoder:
             ids = get(piece)
             if ids is None:
                 raw = piece.encode()
-                ids = b"".join(i.to_bytes(4, "little") for i in self.merge(raw))
+                ids = b"".join([words[i] for i in self.merge(raw)])
                 if len(raw) <= MEMO_BYTES:
                     if len(memo) >= MEMO:
                         memo.clear()
