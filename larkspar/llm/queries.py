@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, lm, neardedup, secrets, urls
+from larkspar.llm import bpe, chat, decontaminate, fingerprints, linededup, lm, neardedup, quality, secrets, urls
 from larkspar.llm.common import read
 
 
@@ -19,6 +19,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality.learn(docs, read(spark, sf_dir, "labels"), learnt=~held_out)
+    return quality.classify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *_vocabulary())
 
@@ -170,6 +177,7 @@ FROM rows_ r LEFT JOIN mapped m ON r.host = m.host AND r.template = m.template L
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
