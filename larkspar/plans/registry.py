@@ -24,3 +24,15 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return query
 
     return put
+
+
+def sql(name: str, query: str, oracle: str | None) -> None:
+    """Register a query in Spark SQL over the tables that it names."""
+    from larkspar.sources.tables import run_sql
+
+    register(name, oracle)(lambda spark, sf_dir: run_sql(spark, sf_dir, query))
+
+
+def both(name: str, query: str) -> None:
+    """Register a query that is the same text for either engine."""
+    sql(name, query, query)
