@@ -1,0 +1 @@
+"""Reserved: the surface that this library offers has no streaming sources, windows or state, so there is nothing here."""
