@@ -113,10 +113,13 @@ def _quiet_drop(spark: SparkSession, path: str) -> None:
         return
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files or other leaves that a plan reads, as the optimiser knows them, without reading them."""
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of the files that a plan reads, as the optimiser knows them without reading them; where it does not, the bytes of the ``text`` column, by a pass over it."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    known = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if known < 1 << 60:  # else a default that stands for any size
+        return known
+    return df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
 
 
 def byte_text(batch: pa.RecordBatch, name: str) -> list[str]:

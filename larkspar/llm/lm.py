@@ -177,7 +177,7 @@ def score(df: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "
 
     base_score is that of single words with half a count added, score the automaton's.
     """
-    n = input_bytes(df) // CHUNK_BYTES + 1
+    n = input_bytes(df, text) // CHUNK_BYTES + 1
     ids = F.col(f"`{doc_id}`").cast("bigint")
     docs = df.select(ids.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
