@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspar.llm.common import byte_text, map_rows
 
@@ -187,7 +188,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode(df: DataFrame, path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
     """``keep`` columns and the token ids of ``text`` (array<int>; empty for null or empty texts), one row for each row."""
     kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.add(out, "array<int>")
+    schema = kept.drop("__text").schema.add(out, T.ArrayType(T.IntegerType()))
 
     def make():
         coder = encoder(path, pattern)

@@ -42,7 +42,7 @@ class Mapping:
 
 #: The known layouts.
 MAPPINGS = (
-    Mapping("turn rows", ("conv_id", "turn", "role", "text"), role="role", text="text"),
+    Mapping("turn rows", ("turn", "role", "text"), role="role", text="text"),
     Mapping("messages", ("messages", "messages[].role", "messages[].content"), turns="messages", role="role", text="content"),
     Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
     Mapping("prompt", ("prompt", "response"), parts=(("user", ("prompt",)), ("assistant", ("response",)))),
@@ -105,6 +105,14 @@ def _joined(cols: list[Column]) -> Column:
     return F.concat_ws("\n", *[F.when(c != "", c) for c in cols])
 
 
+def _under(keys: Column, array: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{array}[]."), k))
+
+
+def _turns_of(each: Column, m: Mapping) -> Column:
+    return F.transform(each, lambda t: F.struct(_role(t[m.role]).alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text")))
+
+
 def record_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, layout, turns array<struct<role, text>>) of JSON records of many layouts, a row for each row.
 
@@ -118,14 +126,14 @@ def record_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id"
     for m in MAPPINGS:
         if m.turns:
             inner = F.coalesce(F.json_object_keys(F.get_json_object(F.col(f"`{record}`"), f"$.{m.turns}[0]")), F.array().cast("array<string>"))
-            paths = F.concat(paths, F.transform(inner, lambda k, t=m.turns: F.concat(F.lit(f"{t}[]."), k)))
+            paths = F.concat(paths, _under(inner, m.turns))
     known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted(_KNOWN)])))
     out = df.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{record}`").alias("__record"), F.when(shape.isNotNull(), F.sha2(F.array_join(known, "\n"), 256)).alias("__print"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for print_, m in _BY_FINGERPRINT.items():
         if m.turns:
             each = F.from_json(F.get_json_object("__record", f"$.{m.turns}"), f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-            got = F.transform(each, lambda t, m=m: F.struct(_role(t[m.role]).alias("role"), F.coalesce(t[m.text], F.lit("")).alias("text")))
+            got = _turns_of(each, m)
         elif m.parts:
             got = F.array(*[F.struct(F.lit(r).alias("role"), _joined([F.get_json_object("__record", f"$.{f}") for f in fields]).alias("text")) for r, fields in m.parts])
         else:
