@@ -1,13 +1,14 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
-A text is a set of word shingles, as 64-bit hashes; its signature has COORDINATES min-hashes. Rows with equal sets are one class at once. Each class is posted under each of its
-coordinate-value pairs. Two sets at the threshold agree in MATCHES coordinates but for one pair in three million, and the rest is the T-occurrence problem: order a
-class's posting lists from short to long; two classes that agree in MATCHES coordinates share one of the first COORDINATES - MATCHES + 1 lists of each (the prefix), so the long lists are skipped, and lists of one class lead
+A text is a set of word shingles, as 64-bit hashes; its signature has COORDINATES values, each of ROWS min-hashes, so that unlike texts with some common shingles, whose number of pairs grows with the square of the corpus, rarely agree in
+any. Rows with equal sets are one class at once. Each class is posted under each of its coordinate-value pairs. Two sets at a similarity of 0.8 agree in MATCHES coordinates but for one pair in a million, and the rest is the
+T-occurrence problem: order a class's posting lists from short to long; two classes that agree in MATCHES coordinates share one of the first COORDINATES - MATCHES + 1 lists of each (the prefix), so the long lists are skipped, and lists of one class lead
 nowhere. Pairs from the prefix lists have their agreeing coordinates counted, those with MATCHES or more are confirmed on the full sets, and confirmed links join components.
 
 Pairs within a list are not all made. In a first round each class meets the list's first one only, which joins the bulk of a large group of near copies; in later rounds only lists that still hold several
 components are used, and only pairs of different components: all of them for a short list, and for a long one those with ever more of its classes, each of which leaves the list when it has met all others. So a group of n near
-copies costs about n pairs, and yet no pair that could join two components is left out.
+copies costs about n pairs, and yet no pair that could join two components is left out. Drifted copies, which met the same class in the first round and are not all linked, would still be many pairs; those of one such anchor are held against each
+other in blocks, the ones outside its largest component against all, as matrix products that return the links alone.
 
 What goes between the rounds is written to the shared folder. No list, component or group is ever in one task as a whole: minima and counts are partial sums, and joins on a hot list are split by adaptive execution.
 
@@ -27,15 +28,17 @@ from pyspark.sql import functions as F
 
 from larkspar.llm.common import Stash, byte_text, fold, map_rows
 
-COORDINATES, MATCHES = 64, 34
+COORDINATES, ROWS, MATCHES = 40, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
 #: Classes of a list up to which all its pairs of different components are made, after the first round.
 SHORT = 12
+#: Classes of a block that is held against another, and columns of their matrices at a time.
+BLOCK, COLUMNS = 512, 4096
 #: Distinct words that a task remembers the hashes of.
 MEMO = 500_000
 _rng = np.random.default_rng(97)
-_MUL = (_rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
-_ADD = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)[:, None]
+_MUL = (_rng.integers(0, 1 << 32, COORDINATES * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
+_ADD = _rng.integers(0, 1 << 32, COORDINATES * ROWS, dtype=np.uint32)[:, None]
 _SEEDS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -54,11 +57,14 @@ class Shingler:
         if len(memo) > MEMO:
             memo.clear()
         try:
-            one = [memo[w] for w in words]
+            h = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         except KeyError:
             digest = xxhash.xxh3_64_intdigest
-            one = [memo[w] if w in memo else memo.setdefault(w, digest(w)) for w in words]
-        h = np.array(one, np.uint64)
+            for w in words:
+                if w not in memo:
+                    memo[w] = digest(w) >> 1  # 63 bits, which numpy takes faster
+            h = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        h = h.view(np.uint64)
         size = min(self.size, len(words))
         out = np.zeros(len(h) - size + 1, np.uint64)
         for k in range(size):
@@ -70,11 +76,17 @@ class Shingler:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The COORDINATES min-hashes of a set, 32 bits each."""
-    least = np.full(COORDINATES, np.uint64(0xFFFFFFFF) << np.uint64(32), np.uint64)
-    for k in range(0, len(found), 2048):
-        least = np.minimum(least, (found[None, k : k + 2048] * _MUL + _ADD).min(axis=1))
-    return (least >> np.uint64(32)).astype("<u4")
+    """The COORDINATES values of a set, 64 bits each, of its min-hashes and the coordinate's number."""
+    low = (found >> np.uint64(32)).astype(np.uint32)[None, :]
+    least = np.full(COORDINATES * ROWS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, low.shape[1], 1024):
+        least = np.minimum(least, (low[:, k : k + 1024] * _MUL + _ADD).min(axis=1))
+    rows = least.reshape(COORDINATES, ROWS).astype(np.uint64)
+    out = np.arange(COORDINATES, dtype=np.uint64)
+    for k in range(ROWS):
+        out = (out ^ (out >> np.uint64(31))) * _SEEDS[k] + rows[:, k]
+    out = (out ^ (out >> np.uint64(29))) * _SEEDS[15]
+    return (out ^ (out >> np.uint64(32))).astype("<u8")
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
@@ -113,13 +125,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 def _postings(classes: DataFrame) -> DataFrame:
     """(key, rep, c, n) of rows (rep, c, n, sig): a class under each of its coordinate-value pairs."""
-    high = (np.arange(COORDINATES, dtype=np.int64) << np.int64(32))[None, :]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, COORDINATES).astype(np.int64)
+            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8")
             same = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), COORDINATES)) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array((sig | high).ravel()), *same], names=["key", "rep", "c", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), *same], names=["key", "rep", "c", "n"])
 
         return work
 
@@ -131,7 +142,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, COORDINATES) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, COORDINATES) for k in (2, 3))
             hold = pa.array((x == y).sum(axis=1) >= MATCHES)
             return pa.RecordBatch.from_arrays([batch.column(0).filter(hold), batch.column(1).filter(hold)], names=["a", "b"])
 
@@ -140,23 +151,22 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return map_rows(pairs, make, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(a, b) of rows (a, b, full_a, full_b) whose sets are alike enough."""
+def _overlaps(pairs: DataFrame) -> DataFrame:
+    """(a, b, shared, whole) of rows (a, b, full_a, full_b): sizes of the sets' intersection and union."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hold = []
+            shared, whole = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                hold.append(denominator * shared >= numerator * (len(both) - shared))
-            keep = pa.array(hold)
-            return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                shared.append(int((both[1:] == both[:-1]).sum()))
+                whole.append(len(both) - shared[-1])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["a", "b", "shared", "whole"])
 
         return work
 
-    return map_rows(pairs, make, "a bigint, b bigint")
+    return map_rows(pairs, make, "a bigint, b bigint, shared bigint, whole bigint")
 
 
 def components(edges: DataFrame) -> Stash:
@@ -214,40 +224,108 @@ def _class_links(classes: Stash, docs: DataFrame, size: int, numerator: int, den
     sets = Stash(_sets(docs.join(reps, F.col("id") == F.col("rep"), "left_semi"), size))
     sig = classes.df.select("rep", "sig")
     found = Stash(docs.sparkSession.createDataFrame([], "a bigint, b bigint"))
-    lists = _labelled(lists, None)
+    lists = _labelled(lists, None, None)
+    graph = settled = None
     pivots = 1
     while lists is not None:
-        pairs, left = _round(lists.df, pivots, numerator, denominator)
-        pairs, left = Stash(pairs), Stash(left)
+        pairs, left = map(Stash, _round(lists.df, pivots, numerator, denominator))
         with_a = pairs.df.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
         close = Stash(_agreeing(with_a.select("a", "b", "sig_a", "sig_b")))
         full = close.df.join(sets.df.withColumnsRenamed({"rep": "a", "full": "full_a"}), "a").join(sets.df.withColumnsRenamed({"rep": "b", "full": "full_b"}), "b")
-        links = Stash(_confirmed(full.select("a", "b", "full_a", "full_b"), numerator, denominator))
-        before, found = found, Stash(found.df.unionByName(links.df).distinct())
-        graph = components(found.df)
+        met = Stash(_overlaps(full.select("a", "b", "full_a", "full_b")))
+        links = met.df.filter(F.col("shared") * denominator >= F.col("whole") * numerator).select("a", "b")
+        found, graph = _joined(found, graph, links)
         lists.drop()
-        lists = _labelled(left, graph)
-        for s in (pairs, close, links, before, graph):
+        lists = _labelled(left, graph, settled)
+        if settled is None and lists is not None:
+            # The smaller of a first pair is a list's first class; a class that met several remembers the smallest.
+            links, settled = _anchor_links(lists, sets, met.df.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("anchor")), numerator, denominator)
+            found, graph = _joined(found, graph, links.df)
+            links.drop()
+            lists = _labelled(lists, graph, settled)
+        for s in (pairs, close, met):
+            s.drop()
+        pivots *= 16
+    for s in (sets, settled, graph):
+        if s is not None:
             s.drop()
-        pivots *= 4
-    sets.drop()
     return found
 
 
-def _labelled(lists: Stash, graph: Stash | None) -> Stash | None:
-    """(key, rep, n, comp, k) of the lists that hold several components, k classes each; None if there are none. The lists given go."""
+def _joined(found: Stash, graph: Stash | None, links: DataFrame) -> tuple[Stash, Stash | None]:
+    """All links and their components, with new links; the old ones go, but if there is nothing new."""
+    if not links.limit(1).count():
+        return found, graph
+    every = Stash(found.df.unionByName(links).distinct())
+    found.drop()
+    if graph is not None:
+        graph.drop()
+    return every, components(every.df)
+
+
+def _linked_blocks(numerator: int, denominator: int):
+    """Of two blocks (rep, comp, full) of one anchor, the links between classes of different components."""
+
+    def link(few: pa.Table, all_: pa.Table) -> pa.Table:
+        sets = [[np.frombuffer(x, np.uint64) for x in t.column("full").to_pylist()] for t in (few, all_)]
+        out = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}
+        if sets[0] and sets[1]:
+            each = [np.concatenate(x) for x in sets]
+            owner = [np.repeat(np.arange(len(x)), list(map(len, x))) for x in sets]
+            common = np.intersect1d(*each)
+            shared = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+            for k in range(0, len(common), COLUMNS):
+                part, ones = common[k : k + COLUMNS], []
+                for x, o, n in zip(each, owner, map(len, sets), strict=True):
+                    at = np.minimum(np.searchsorted(part, x), len(part) - 1)
+                    hit = part[at] == x
+                    ones.append(np.zeros((n, len(part)), np.float32))
+                    ones[-1][o[hit], at[hit]] = 1
+                shared += ones[0] @ ones[1].T
+            sizes = [np.array(list(map(len, x)), np.float32) for x in sets]
+            comps, reps = ([t.column(c).to_numpy() for t in (few, all_)] for c in ("comp", "rep"))
+            hold = (denominator * shared >= numerator * (sizes[0][:, None] + sizes[1][None, :] - shared)) & (comps[0][:, None] != comps[1][None, :])
+            x, y = np.nonzero(hold)
+            x, y = reps[0][x], reps[1][y]
+            out = {"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))}
+        return pa.table(out)
+
+    return link
+
+
+def _anchor_links(lists: Stash, sets: Stash, anchors: DataFrame, numerator: int, denominator: int) -> tuple[Stash, Stash]:
+    """(a, b): all links between classes of different components that met the same class in the first round, for anchors of more than SHORT classes; and (rep, anchor) of those."""
+    reps = Stash(lists.df.select("rep", "comp").distinct().join(anchors, "rep"))
+    of_comp = reps.df.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("c"))
+    large = of_comp.groupBy("anchor").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k")).filter((F.col("k") > SHORT) & (F.col("m.c") < F.col("k")))
+    large = Stash(large.select("anchor", F.col("m.comp").alias("largest"), F.ceil((F.col("k") - F.col("m.c")) / BLOCK).alias("n_few"), F.ceil(F.col("k") / BLOCK).alias("n_all")))
+    here = Stash(reps.df.join(large.df, "anchor").join(sets.df, "rep"))
+    slot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = here.df.filter("comp <> largest").select("anchor", slot("n_few").alias("i"), every("n_all").alias("j"), "rep", "comp", "full")
+    all_ = here.df.select("anchor", every("n_few").alias("i"), slot("n_all").alias("j"), "rep", "comp", "full")
+    keys = ["anchor", "i", "j"]
+    found = Stash(few.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInArrow(_linked_blocks(numerator, denominator), "a bigint, b bigint"))
+    settled = Stash(here.df.select("rep", "anchor").distinct())
+    for s in (reps, large, here):
+        s.drop()
+    return found, settled
+
+
+def _labelled(lists: Stash, graph: Stash | None, settled: Stash | None) -> Stash | None:
+    """(key, rep, n, comp, anchor, k) of the lists that hold several components not all of one settled anchor, k classes each; None if there are none. The lists given go."""
+    now = lists.df.select("key", "rep", "n")
     if graph is None:
-        now = lists.df.withColumn("comp", F.col("rep"))
+        now = now.withColumn("comp", F.col("rep"))
     else:
-        now = lists.df.join(graph.df, F.col("rep") == F.col("v"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        now = now.join(graph.df.select("v", "comp"), F.col("rep") == F.col("v"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    now = now.withColumn("anchor", F.lit(None).cast("bigint")) if settled is None else now.join(settled.df, "rep", "left")
     now = Stash(now)
     lists.drop()
-    state = Stash(now.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select("key", "k"))
-    if not state.df.limit(1).count():
-        now.drop()
-        state.drop()
-        return None
-    out = Stash(now.df.join(state.df, "key"))
+    several = (F.col("lo") < F.col("hi")) & ~((F.col("anchors") == F.col("k")) & (F.col("first") == F.col("last")))
+    state = now.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("anchor").alias("anchors"), F.min("anchor").alias("first"), F.max("anchor").alias("last"), F.count(F.lit(1)).alias("k"))
+    state = Stash(state.filter(F.coalesce(several, F.col("lo") < F.col("hi"))).select("key", "k"))
+    out = Stash(now.df.join(state.df, "key")) if state.df.limit(1).count() else None
     now.drop()
     state.drop()
     return out
@@ -258,16 +336,26 @@ def _round(lists: DataFrame, pivots: int, numerator: int, denominator: int) -> t
 
     The first round (one pivot) takes every list's first class only; a class that has met its whole list leaves it. Later, short lists make all their pairs and go.
     """
-    ok = (F.col("comp") != F.col("pcomp")) & (F.col("n") * denominator >= F.col("pn") * numerator) & (F.col("pn") * denominator >= F.col("n") * numerator)
+    apart = F.col("comp") != F.col("pcomp")
+    ok = apart & (F.col("n") * denominator >= F.col("pn") * numerator) & (F.col("pn") * denominator >= F.col("n") * numerator)
+    fields = ["rep", "n", "comp"]
+    if pivots > 1:
+        fields.append("anchor")  # pairs of one anchor have been looked at
+        ok = ok & F.coalesce(F.col("anchor") != F.col("panchor"), F.lit(True))
     long_ = lists if pivots == 1 else lists.filter(F.col("k") > SHORT)
+    eligible = long_
+    if pivots > 1:
+        sizes = long_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
+        eligible = long_.join(sizes, "key").filter("comp <> largest").drop("largest")
     slot = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-    first = long_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "comp")).alias("p")).select("key", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
+    first = eligible.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*fields)).alias("p"))
+    first = first.select("key", *[F.col(f"p.{f}").alias("p" + f) for f in fields])
     pairs = long_.join(first, "key").filter(ok).select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b"))
     if pivots > 1:
-        short = lists.filter(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "comp")).alias("m"))
+        short = lists.filter(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("m"))
         each = short.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        each = each.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("pn"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("pcomp"))
-        pairs = pairs.unionByName(each.filter(ok & (F.col("a") < F.col("b"))).select("a", "b"))
+        each = each.select(*[F.col(f"x.{f}").alias(f) for f in fields], *[F.col(f"y.{f}").alias("p" + f) for f in fields])
+        pairs = pairs.unionByName(each.filter(ok & (F.col("rep") < F.col("prep"))).select(F.col("rep").alias("a"), F.col("prep").alias("b")))
     left = long_.join(first.select("key", F.col("prep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
     return pairs.distinct(), left
 
