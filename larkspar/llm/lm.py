@@ -26,7 +26,7 @@ from larkspar.llm.common import fold, input_bytes
 #: Bytes of input for one chunk.
 CHUNK_BYTES = 8 << 20
 #: Weight of the root's distribution at a state, in occurrences of the state.
-K = 30.0
+K = 100.0
 _START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
 _END = b"\n"  # no word
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
