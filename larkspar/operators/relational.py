@@ -44,8 +44,10 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: Column, agg: Ca
 def frame_exclude(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, start: int, end: int, exclude: str, out: str) -> DataFrame:
     """The sum of ``value`` over ROWS start..end without the current row, its peer group, or its peers but itself (``exclude``: current, group, ties); null if nothing is left.
 
-    Sums of the frame and of its excluded part would cancel badly for doubles, so the frame's rows are gathered with their place and peer group and those that stay are added.
+    Over a whole partition it is the partition's sum less what is excluded: three window sums, whatever the partition's size. Other frames gather their rows with place and peer group, and those that stay are added, so that a frame's memory is that of its rows.
     """
+    if start <= Window.unboundedPreceding and end >= Window.unboundedFollowing:
+        return _whole_exclude(df, partition, order, value, exclude, out)
     by = Window.partitionBy(*partition).orderBy(*order)
     numbered = df.withColumns({"__r": F.row_number().over(by), "__g": F.dense_rank().over(by), "__v": value.cast("double")})
     rows = F.collect_list(F.struct("__r", "__g", "__v")).over(Window.partitionBy(*partition).orderBy("__r").rowsBetween(start, end))
@@ -59,6 +61,15 @@ def frame_exclude(df: DataFrame, partition: Sequence[str], order: Sequence[Colum
     return numbered.withColumn(out, total).drop("__r", "__g", "__v", "__rows")
 
 
+def _whole_exclude(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, exclude: str, out: str) -> DataFrame:
+    ranked = df.withColumn("__v", value.cast("double")).withColumn("__g", F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
+    all_, peers = Window.partitionBy(*partition), Window.partitionBy(*partition, "__g")
+    own, own_n = F.coalesce("__v", F.lit(0.0)), F.col("__v").isNotNull().cast("bigint")
+    gone = {"current": (own, own_n), "group": (F.sum(own).over(peers), F.sum(own_n).over(peers)), "ties": (F.sum(own).over(peers) - own, F.sum(own_n).over(peers) - own_n)}[exclude]
+    total, n = F.sum(own).over(all_) - gone[0], F.sum(own_n).over(all_) - gone[1]
+    return ranked.withColumns({"__s": total, "__c": n}).withColumn(out, F.when(F.col("__c") > 0, F.col("__s"))).drop("__v", "__g", "__s", "__c")
+
+
 def upsert_do_nothing(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """INSERT ... ON CONFLICT DO NOTHING."""
     return target.unionByName(new.join(target.select(*key), list(key), "left_anti").select(*target.columns))

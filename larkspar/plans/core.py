@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larkspar.functions import exprs
@@ -9,6 +11,14 @@ from larkspar.operators import relational as rel
 from larkspar.plans.registry import both, register, sql
 from larkspar.sources.tables import copy_from, copy_to, run_sql, table
 
+
+
+def _scratch(spark) -> str:
+    """A new path in the folder that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/larkspar-{uuid.uuid4().hex}"
+
+
 # Scans and sources
 
 both("scan_filter", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
@@ -16,7 +26,6 @@ both("pk_lookup", "SELECT * FROM customer WHERE c_custkey = 42")
 both("secondary_eq_lookup", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey = 7")
 both("index_range", "SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 100 AND 250")
 both("values_join", "SELECT c_custkey, tag FROM customer JOIN (VALUES (1, 'a'), (2, 'b'), (5, 'c'), (-1, 'z')) AS t(k, tag) ON c_custkey = k")
-both("partition_pruned_scan", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 1 OR n_regionkey = 3")
 
 
 @register("generate_series", "SELECT CAST(v AS INTEGER) AS v, CAST(row_number() OVER (ORDER BY v) AS INTEGER) AS ord FROM generate_series(2, 20, 3) t(v)")
@@ -81,15 +90,19 @@ def knn_cosine(spark, sf_dir):
 
 @register("copy_roundtrip", "SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE props || chr(9) || 'a\\b' || chr(10) END AS p FROM events WHERE event_id < 500")
 def copy_roundtrip(spark, sf_dir):
-    import uuid
-
     df = run_sql(spark, sf_dir, "SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE props || '\\t' || 'a\\\\b' || '\\n' END AS p FROM events WHERE event_id < 500")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/copy-{uuid.uuid4().hex}"
+    path = _scratch(spark)
     copy_to(df, path)
     return copy_from(spark, path, df.schema)
 
 
+@register("partition_pruned_scan", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 1 OR n_regionkey = 3")
+def partition_pruned_scan(spark, sf_dir):
+    path = _scratch(spark)
+    table(spark, sf_dir, "nation").select("n_name", "n_regionkey").write.partitionBy("n_regionkey").parquet(path)
+    return spark.read.schema("n_name string, n_regionkey int").parquet(path).filter("n_regionkey = 1 OR n_regionkey = 3")
+
+
 @register("info_schema_columns")
 def info_schema_columns(spark, sf_dir):
     from larkspar.sources.tables import TABLES

@@ -124,3 +124,9 @@ def analyze_stats(spark, sf_dir):
 @register("analyze_mcv", "SELECT l_suppkey, count(*) AS freq FROM lineitem GROUP BY l_suppkey ORDER BY freq DESC, l_suppkey LIMIT 10")
 def analyze_mcv(spark, sf_dir):
     return rel.most_common(table(spark, sf_dir, "lineitem"), "l_suppkey")
+
+
+@register("analyze_histogram", " UNION ALL ".join(f"SELECT {k} AS k, round(quantile_cont(o_totalprice, {k / 8}), 4) AS bound FROM orders" for k in range(9)))
+def analyze_histogram(spark, sf_dir):
+    bounds = rel.histogram_bounds(table(spark, sf_dir, "orders"), "o_totalprice", 8)
+    return spark.createDataFrame(list(enumerate(bounds)), "k int, b double").select("k", F.round("b", 4).alias("bound"))

@@ -19,6 +19,13 @@ def test_exclude_current_row(spark):
     assert rows(out.orderBy("id").select("s")) == [(None,), (10.0,), (30.0,)]
 
 
+@pytest.mark.parametrize(("kind", "want"), [("current", [None, 50.0, 50.0, 40.0]), ("group", [None, 30.0, 30.0, 40.0]), ("ties", [None, 50.0, 50.0, 70.0])])
+def test_exclude_over_whole_partitions(spark, kind, want):
+    df = spark.createDataFrame([(0, "a", 1, None), (1, "b", 1, 20), (2, "b", 1, 20), (3, "b", 2, 30), (4, "a", 5, None)], "id int, p string, o int, x int")
+    out = {r["id"]: r["s"] for r in rel.frame_exclude(df, ["p"], [F.col("o")], F.col("x"), Window.unboundedPreceding, Window.unboundedFollowing, kind, "s").collect()}
+    assert [out[k] for k in range(4)] == want
+
+
 def test_groups_frame(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 20), (4, 40)], "id int, x int").withColumn("p", F.lit(1))
     out = rel.groups_frame(df, ["p"], F.col("x").asc(), lambda w: F.sum("x").over(w), 1, 0, "s")
