@@ -111,7 +111,7 @@ def with_neighbours(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, "text") // TASK_BYTES + 1)
-    bounds = np.unique(np.array(docs.stat.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [], dtype=np.float64))
+    bounds = np.unique(np.array(docs.stat.approxQuantile("id", [i / n for i in range(1, n)], max(0.1 / n, 1e-6)) if n > 1 else [], dtype=np.float64))
 
     @pandas_udf("int")
     def bucket_of(ids: pd.Series) -> pd.Series:

@@ -120,6 +120,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardedup.link(read(spark, sf_dir, "documents"), size=2)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS v, b AS u FROM edges UNION SELECT r.v, e.b FROM reach r JOIN edges e ON r.u = e.a),
+least AS (SELECT v, min(u) AS u FROM reach GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(u, d.doc_id)) AS component_id, d.doc_id <= coalesce(u, d.doc_id) AS kept
+FROM d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON v = d.doc_id
+"""
+
 RULES = urls.rules("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 
 
@@ -188,4 +201,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op7_chat": _op7_sql(), "op8_line_dedup": OP8_SQL, "op9_urls": OP9_SQL}
+SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op7_chat": _op7_sql(), "op8_line_dedup": OP8_SQL, "op9_urls": OP9_SQL, "op10_near_dedup": OP10_SQL}
