@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop the documents that the quality classifier rejects; it learns from the labels whose crc32 of the id modulo 3 is not 1."""
     learnt = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     model = quality.learn(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), learnt=learnt)
-    scored = quality.classify(docs, model, keep=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = quality.classify(docs, model, keep=tuple(docs.columns), out=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

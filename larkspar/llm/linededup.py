@@ -77,6 +77,18 @@ class LineRuns:
         every = reduce(DataFrame.unionByName, [r.df for r in runs])
         return every.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
 
+    def known(self, batch: DataFrame) -> DataFrame:
+        """Rows of a batch (id, key) whose key some run holds."""
+        parts = [batch.join(r.df.select("key").hint("merge"), "key", "left_semi") for level in self.levels for r in level]
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else batch.limit(0)
+
+    def novel(self, batch: DataFrame) -> DataFrame:
+        """Rows of a batch (id, key) whose key no run holds: a merge anti-join with one sorted run after another."""
+        for level in self.levels:
+            for r in level:
+                batch = batch.join(r.df.select("key").hint("merge"), "key", "left_anti")
+        return batch
+
     def frequent(self, min_docs: int) -> Stash | None:
         """Entries (key, top) of lines that at least ``min_docs`` documents hold, over all runs; the runs go."""
         runs = [r for level in self.levels for r in level]
@@ -90,7 +102,7 @@ class LineRuns:
 
 
 def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """All columns of ``df``, ``text`` without its dropped lines, and n_lines and n_dropped.
+    """All columns of ``df``, ``text`` without its dropped lines, and n_lines and n_dropped, to which columns of those names give way.
 
     A line whose key has at least ``min_chars`` code points and is held by at least ``min_docs`` documents goes from every document but that of the largest id. Batches are ranges of ids, so that each reads
     its own row groups only where files are in order of id.
@@ -117,10 +129,29 @@ def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mi
         .groupBy(F.col("id").alias("__id"))
         .agg(F.collect_set("key").alias("__drop"))
     )
+    return _without(docs, drops, df.columns, text, min_chars)
+
+
+def _without(docs: DataFrame, drops: DataFrame, columns: list[str], text: str, min_chars: int) -> DataFrame:
+    """``columns`` of documents, ``text`` without the lines whose keys ``drops`` (__id, __drop) lists, and n_lines and n_dropped."""
+    columns = [c for c in columns if c not in ("n_lines", "n_dropped")]
     joined = docs.join(drops, "__id", "left")
     every = lines(F.col(f"`{text}`"))
     stay = F.filter(every, lambda x: ~F.coalesce(F.array_contains(F.col("__drop"), F.when(F.length(line_key(x)) >= min_chars, key_hash(line_key(x)))), F.lit(False)))
     kept = F.when(F.col("__drop").isNull(), every).otherwise(stay)
-    columns = [F.col(f"`{c}`") for c in df.columns if c != text]
-    out = joined.select(*columns, F.size(every).cast("bigint").alias("n_lines"), kept.alias("__kept"))
-    return out.select(*[F.array_join("__kept", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns], "n_lines", (F.col("n_lines") - F.size("__kept")).alias("n_dropped"))
+    out = joined.select(*[F.col(f"`{c}`") for c in columns if c != text], F.size(every).cast("bigint").alias("n_lines"), kept.alias("__kept"))
+    return out.select(*[F.array_join("__kept", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in columns], "n_lines", (F.col("n_lines") - F.size("__kept")).alias("n_dropped"))
+
+
+def admit(runs: LineRuns, batch: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """A new batch of documents without the lines that earlier batches hold; its own lines are added to the runs.
+
+    Of the batch's lines only those that no run holds yet are added, with counts of this batch; the result is written before that, since it depends on the runs as they were. Lines repeated within the batch stay.
+    """
+    docs = batch.withColumn("__id", F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(_LEAST)))
+    own = Stash(keyed(docs, "__id", f"`{text}`", min_chars))
+    drops = runs.known(own.df).groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
+    out = Stash(_without(docs, drops, batch.columns, text, min_chars))
+    runs.add(runs.novel(own.df))
+    own.drop()
+    return out.df

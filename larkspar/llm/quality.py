@@ -146,10 +146,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     return fit(rows, np.array([r[1] for r in found]))
 
 
-def classify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5)."""
+def classify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5), under the names of ``out``."""
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    schema = kept.drop("__text").schema.add(out[0], "double").add(out[1], "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -157,7 +157,7 @@ def classify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             score = own.score(byte_text(batch, "__text"))
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, *out])
 
         return work
 

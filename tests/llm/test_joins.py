@@ -136,9 +136,9 @@ def test_lines_against_brute_force(spark, batches):
 
 
 def test_lines_of_odd_rows(spark, odd):
-    got = linededup.dedup_lines(odd.drop("n_lines")).collect()
+    got = linededup.dedup_lines(odd).collect()
     assert len(got) == len(ODD) and {r["text"] for r in got if r["doc_id"] in (1, 2)} == {""}
-    assert linededup.dedup_lines(odd.drop("n_lines").limit(0)).count() == 0
+    assert linededup.dedup_lines(odd.limit(0)).count() == 0
 
 
 def test_runs_are_levelled(spark):
@@ -149,6 +149,17 @@ def test_runs_are_levelled(spark):
     assert [(bytes(r["key"]), r["top"]) for r in runs.frequent(5).df.collect()] == [(b"a", 4)]
 
 
+def test_batches_admit_new_lines_only(spark):
+    runs = linededup.LineRuns(spark, fanout=2)
+    batches = [[(1, "a line\nb line\nx"), (2, "a line")], [(3, "b line\nc line\nx"), (None, None)], [(4, "c line\na line\nd line"), (5, "A LINE ")]]
+    got = [linededup.admit(runs, spark.createDataFrame(b, "doc_id bigint, text string"), min_chars=4) for b in batches]
+    assert [sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in g.collect()) for g in got] == [
+        [(1, "a line\nb line\nx", 0), (2, "a line", 0)],
+        [(0, "", 0), (3, "c line\nx", 1)],
+        [(4, "d line", 2), (5, "", 1)],
+    ]
+
+
 # Decontamination
 
 
@@ -300,3 +311,12 @@ def test_pipeline_stages_and_their_effects(spark, sf_dir, tmp_path):
     last = {r["doc_id"]: r["decoded_sha256"] for r in kept[-1].collect()}
     assert last == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts[4].items()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, kept[-1].collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, sf_dir):
+    rows = odd.withColumns({"n_chars": F.length("text").cast("bigint"), "score": F.lit(1.5), "predicted": F.lit("x"), "id": F.lit(0)})
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (rows, rows.limit(0)):
+            out = stage(spark, df, sf_dir)
+            assert out.count() <= df.count()
+            assert name == "encoding" or out.columns == df.columns
