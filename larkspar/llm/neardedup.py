@@ -7,7 +7,7 @@ nowhere. Pairs from the prefix lists have their agreeing coordinates counted, th
 
 Pairs within a list are not all made. In a first round each class meets the list's first one only, which joins the bulk of a large group of near copies; in later rounds only lists that still hold several
 components are used, and only pairs of different components: all of them for a short list, and for a long one those with ever more of its classes, each of which leaves the list when it has met all others. So a group of n near
-copies costs about n pairs, and yet no pair that could join two components is left out. Drifted copies, which met the same class in the first round and are not all linked, would still be many pairs; those of one such anchor are held against each
+copies costs about n pairs, and yet no pair that could join two components is left out. Drifted copies, which met the same first class and are not all linked, would still be many pairs; those of one such anchor are held against each
 other in blocks, the ones outside its largest component against all, as matrix products that return the links alone.
 
 What goes between the rounds is written to the shared folder. No list, component or group is ever in one task as a whole: minima and counts are partial sums, and joins on a hot list are split by adaptive execution.
@@ -19,6 +19,8 @@ Rows of a null id link nothing: they have the component of a row with an id and
 from __future__ import annotations
 
 import hashlib
+import operator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ COORDINATES, ROWS, MATCHES = 40, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
 #: Classes of a list up to which all its pairs of different components are made, after the first round.
 SHORT = 12
+#: Of the COORDINATES * ROWS single min-hashes, how many a pair may differ in to be confirmed: at a similarity of 0.8, more for one pair in ten million. Their words, and what tells the lanes of two words that differ.
+DIFFER = 48
+TAGS = [f"t{k}" for k in range(-(-COORDINATES * ROWS // 7))]
+_FILL, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 #: Classes of a block that is held against another, and columns of their matrices at a time.
 BLOCK, COLUMNS = 512, 4096
 #: Distinct words that a task remembers the hashes of.
@@ -75,13 +81,25 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The COORDINATES values of a set, 64 bits each, of its min-hashes and the coordinate's number."""
+def _least(found: np.ndarray) -> np.ndarray:
+    """The min-hashes of a set, 32 bits each."""
     low = (found >> np.uint64(32)).astype(np.uint32)[None, :]
     least = np.full(COORDINATES * ROWS, 0xFFFFFFFF, np.uint32)
     for k in range(0, low.shape[1], 1024):
         least = np.minimum(least, (low[:, k : k + 1024] * _MUL + _ADD).min(axis=1))
-    rows = least.reshape(COORDINATES, ROWS).astype(np.uint64)
+    return least
+
+
+def _tags(least: np.ndarray) -> np.ndarray:
+    """7 bits of each min-hash, in lanes of 8 bits, 7 lanes to a signed 64-bit word, so that lanes can be added without a carry between them or into the sign."""
+    lanes = np.zeros(len(TAGS) * 7, np.uint64)
+    lanes[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(25)
+    return (lanes.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """The COORDINATES values of a set, 64 bits each, of its min-hashes and the coordinate's number."""
+    rows = _least(found).reshape(COORDINATES, ROWS).astype(np.uint64)
     out = np.arange(COORDINATES, dtype=np.uint64)
     for k in range(ROWS):
         out = (out ^ (out >> np.uint64(31))) * _SEEDS[k] + rows[:, k]
@@ -110,17 +128,19 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(rep, full) of rows (rep, text): the set as packed sorted hashes."""
+    """(rep, full, t0, t1, ...) of rows (rep, text): the set as packed sorted hashes, and its min-hashes, 7 bits of each, 7 to a word."""
 
     def make():
         shingle = Shingler(size)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in byte_text(batch, "text")], pa.binary())], names=["rep", "full"])
+            found = [shingle(t) for t in byte_text(batch, "text")]
+            tags = np.stack([_tags(_least(x)) for x in found])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), *(pa.array(np.ascontiguousarray(tags[:, k])) for k in range(len(TAGS)))], names=["rep", "full", *TAGS])
 
         return work
 
-    return map_rows(docs, make, "rep bigint, full binary")
+    return map_rows(docs, make, "rep bigint, full binary, " + ", ".join(f"{t} bigint" for t in TAGS))
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -137,20 +157,6 @@ def _postings(classes: DataFrame) -> DataFrame:
     return map_rows(classes, make, "key bigint, rep bigint, c bigint, n bigint")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """(a, b) of rows (a, b, sig_a, sig_b) whose signatures agree in MATCHES coordinates at least."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, COORDINATES) for k in (2, 3))
-            hold = pa.array((x == y).sum(axis=1) >= MATCHES)
-            return pa.RecordBatch.from_arrays([batch.column(0).filter(hold), batch.column(1).filter(hold)], names=["a", "b"])
-
-        return work
-
-    return map_rows(pairs, make, "a bigint, b bigint")
-
-
 def _overlaps(pairs: DataFrame) -> DataFrame:
     """(a, b, shared, whole) of rows (a, b, full_a, full_b): sizes of the sets' intersection and union."""
 
@@ -222,31 +228,36 @@ def _class_links(classes: Stash, docs: DataFrame, size: int, numerator: int, den
     repeated.drop()
     reps = lists.df.select("rep").distinct()
     sets = Stash(_sets(docs.join(reps, F.col("id") == F.col("rep"), "left_semi"), size))
-    sig = classes.df.select("rep", "sig")
     found = Stash(docs.sparkSession.createDataFrame([], "a bigint, b bigint"))
-    lists = _labelled(lists, None, None)
-    graph = settled = None
+    lists = _labelled(lists, sets, None, None)
+    graph = settled = tested = None
     pivots = 1
     while lists is not None:
-        pairs, left = map(Stash, _round(lists.df, pivots, numerator, denominator))
-        with_a = pairs.df.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
-        close = Stash(_agreeing(with_a.select("a", "b", "sig_a", "sig_b")))
-        full = close.df.join(sets.df.withColumnsRenamed({"rep": "a", "full": "full_a"}), "a").join(sets.df.withColumnsRenamed({"rep": "b", "full": "full_b"}), "b")
+        pairs, left = _round(lists.df, pivots, numerator, denominator)
+        if tested is not None:
+            pairs = pairs.join(tested.df, ["a", "b"], "left_anti")
+        pairs, left = Stash(pairs), Stash(left)
+        full = pairs.df.join(sets.df.select(F.col("rep").alias("a"), F.col("full").alias("full_a")), "a").join(sets.df.select(F.col("rep").alias("b"), F.col("full").alias("full_b")), "b")
         met = Stash(_overlaps(full.select("a", "b", "full_a", "full_b")))
         links = met.df.filter(F.col("shared") * denominator >= F.col("whole") * numerator).select("a", "b")
         found, graph = _joined(found, graph, links)
+        if pivots == 1:
+            # Of the first classes of its lists, a class remembers the smallest.
+            first = lists.df.groupBy("key").agg(F.min("rep").alias("anchor"))
+            anchors = Stash(lists.df.select("key", "rep").join(first, "key").filter("rep <> anchor").groupBy("rep").agg(F.min("anchor").alias("anchor")))
         lists.drop()
-        lists = _labelled(left, graph, settled)
+        lists = _labelled(left, sets, graph, settled)
         if settled is None and lists is not None:
-            # The smaller of a first pair is a list's first class; a class that met several remembers the smallest.
-            links, settled = _anchor_links(lists, sets, met.df.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("anchor")), numerator, denominator)
+            links, settled = _anchor_links(lists, sets, anchors.df, numerator, denominator)
+            anchors.drop()
             found, graph = _joined(found, graph, links.df)
             links.drop()
-            lists = _labelled(lists, graph, settled)
-        for s in (pairs, close, met):
+            lists = _labelled(lists, sets, graph, settled)
+        before, tested = tested, pairs if tested is None else Stash(tested.df.unionByName(pairs.df))
+        for s in (met,) if before is None else (met, before, pairs):
             s.drop()
         pivots *= 16
-    for s in (sets, settled, graph):
+    for s in (sets, settled, graph, tested):
         if s is not None:
             s.drop()
     return found
@@ -299,7 +310,7 @@ def _anchor_links(lists: Stash, sets: Stash, anchors: DataFrame, numerator: int,
     of_comp = reps.df.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("c"))
     large = of_comp.groupBy("anchor").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k")).filter((F.col("k") > SHORT) & (F.col("m.c") < F.col("k")))
     large = Stash(large.select("anchor", F.col("m.comp").alias("largest"), F.ceil((F.col("k") - F.col("m.c")) / BLOCK).alias("n_few"), F.ceil(F.col("k") / BLOCK).alias("n_all")))
-    here = Stash(reps.df.join(large.df, "anchor").join(sets.df, "rep"))
+    here = Stash(reps.df.join(large.df, "anchor").join(sets.df.select("rep", "full"), "rep"))
     slot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = here.df.filter("comp <> largest").select("anchor", slot("n_few").alias("i"), every("n_all").alias("j"), "rep", "comp", "full")
@@ -312,8 +323,8 @@ def _anchor_links(lists: Stash, sets: Stash, anchors: DataFrame, numerator: int,
     return found, settled
 
 
-def _labelled(lists: Stash, graph: Stash | None, settled: Stash | None) -> Stash | None:
-    """(key, rep, n, comp, anchor, k) of the lists that hold several components not all of one settled anchor, k classes each; None if there are none. The lists given go."""
+def _labelled(lists: Stash, sets: Stash, graph: Stash | None, settled: Stash | None) -> Stash | None:
+    """(key, rep, n, comp, anchor, k, t0, t1, ...) of the lists that hold several components not all of one settled anchor, k classes each; None if there are none. The lists given go."""
     now = lists.df.select("key", "rep", "n")
     if graph is None:
         now = now.withColumn("comp", F.col("rep"))
@@ -325,7 +336,7 @@ def _labelled(lists: Stash, graph: Stash | None, settled: Stash | None) -> Stash
     several = (F.col("lo") < F.col("hi")) & ~((F.col("anchors") == F.col("k")) & (F.col("first") == F.col("last")))
     state = now.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("anchor").alias("anchors"), F.min("anchor").alias("first"), F.max("anchor").alias("last"), F.count(F.lit(1)).alias("k"))
     state = Stash(state.filter(F.coalesce(several, F.col("lo") < F.col("hi"))).select("key", "k"))
-    out = Stash(now.df.join(state.df, "key")) if state.df.limit(1).count() else None
+    out = Stash(now.df.join(state.df, "key").join(sets.df.select("rep", *TAGS), "rep")) if state.df.limit(1).count() else None
     now.drop()
     state.drop()
     return out
@@ -338,7 +349,9 @@ def _round(lists: DataFrame, pivots: int, numerator: int, denominator: int) -> t
     """
     apart = F.col("comp") != F.col("pcomp")
     ok = apart & (F.col("n") * denominator >= F.col("pn") * numerator) & (F.col("pn") * denominator >= F.col("n") * numerator)
-    fields = ["rep", "n", "comp"]
+    differ = [F.bit_count((F.col(t).bitwiseXOR(F.col("p" + t)) + F.lit(_FILL)).bitwiseAND(F.lit(_HIGH))) for t in TAGS]
+    ok = ok & (reduce(operator.add, differ) <= DIFFER)
+    fields = ["rep", "n", "comp", *TAGS]
     if pivots > 1:
         fields.append("anchor")  # pairs of one anchor have been looked at
         ok = ok & F.coalesce(F.col("anchor") != F.col("panchor"), F.lit(True))
