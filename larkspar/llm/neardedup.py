@@ -297,6 +297,9 @@ def _linked_blocks(numerator: int, denominator: int):
             comps, reps = ([t.column(c).to_numpy() for t in (few, all_)] for c in ("comp", "rep"))
             hold = (denominator * shared >= numerator * (sizes[0][:, None] + sizes[1][None, :] - shared)) & (comps[0][:, None] != comps[1][None, :])
             x, y = np.nonzero(hold)
+            if len(x):  # one link from a class to a component is as good as all
+                _, one = np.unique(np.stack((x, comps[1][y])), axis=1, return_index=True)
+                x, y = x[one], y[one]
             x, y = reps[0][x], reps[1][y]
             out = {"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))}
         return pa.table(out)
@@ -305,7 +308,7 @@ def _linked_blocks(numerator: int, denominator: int):
 
 
 def _anchor_links(lists: Stash, sets: Stash, anchors: DataFrame, numerator: int, denominator: int) -> tuple[Stash, Stash]:
-    """(a, b): all links between classes of different components that met the same class in the first round, for anchors of more than SHORT classes; and (rep, anchor) of those."""
+    """(a, b): a link from each class to each other component with one, between classes that met the same class in the first round, for anchors of more than SHORT classes; and (rep, anchor) of those."""
     reps = Stash(lists.df.select("rep", "comp").distinct().join(anchors, "rep"))
     of_comp = reps.df.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("c"))
     large = of_comp.groupBy("anchor").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k")).filter((F.col("k") > SHORT) & (F.col("m.c") < F.col("k")))
