@@ -41,7 +41,7 @@ def array_agg(spark, sf_dir):
 
 
 both("bool_agg", "SELECT o_custkey, bool_and(o_totalprice > 50000) AS every_, bool_or(o_totalprice > 250000) AS any_, bool_and(CASE WHEN o_custkey < 0 THEN TRUE END) AS none_ FROM orders GROUP BY o_custkey")
-both("bit_agg", "SELECT o_orderpriority, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o FROM orders WHERE o_orderkey % 8 > 3 GROUP BY o_orderpriority")
+both("bit_agg", "SELECT o_orderpriority, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o FROM orders WHERE o_orderkey % 8 > 3 GROUP BY o_orderpriority", bound="o_orderkey % 8 > 3")
 
 
 @register("json_agg", "SELECT n_regionkey, '[' || string_agg(coalesce(CAST(CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey END AS VARCHAR), 'null'), ',' ORDER BY n_nationkey) || ']' AS j FROM nation GROUP BY n_regionkey")

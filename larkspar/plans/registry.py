@@ -12,27 +12,49 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``, with the SQL that an independent engine can run on the same tables."""
-
-    def put(query: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"a query named {name} is there already")
-        QUERIES[name] = query
-        if oracle is not None:
-            SQL[name] = oracle
+def _unbound(text: str, bound: tuple[str, ...]) -> str:
+    for b in bound:
+        if b not in text:
+            raise ValueError(f"{b!r} is not in {text!r}")
+        text = text.replace(b, "TRUE")
+    return text
+
+
+def register(name: str, oracle: str | None = None, bound: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register a query under ``name``, with the SQL that an independent engine can run on the same tables.
+
+    A query that takes a ``bound``, a filter that keeps few rows, is also registered as ``<name>_whole``, with TRUE in its place: over all rows.
+    """
+
+    def put(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if bound is None:
+            _put(name, query, oracle)
+        else:
+            _put(name, lambda spark, sf_dir: query(spark, sf_dir, bound), oracle)
+            _put(name + "_whole", lambda spark, sf_dir: query(spark, sf_dir, "TRUE"), None if oracle is None else _unbound(oracle, (bound,)))
         return query
 
     return put
 
 
-def sql(name: str, query: str, oracle: str | None) -> None:
-    """Register a query in Spark SQL over the tables that it names."""
+def _put(name: str, query: Query, oracle: str | None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"a query named {name} is there already")
+    QUERIES[name] = query
+    if oracle is not None:
+        SQL[name] = oracle
+
+
+def sql(name: str, query: str, oracle: str | None, bound: str | tuple[str, ...] = ()) -> None:
+    """Register a query in Spark SQL over the tables that it names; with ``bound`` also ``<name>_whole``, with TRUE in place of each filter in it."""
     from larkspar.sources.tables import run_sql
 
     register(name, oracle)(lambda spark, sf_dir: run_sql(spark, sf_dir, query))
+    if bound:
+        bounds = (bound,) if isinstance(bound, str) else bound
+        sql(name + "_whole", _unbound(query, bounds), None if oracle is None else _unbound(oracle, bounds))
 
 
-def both(name: str, query: str) -> None:
+def both(name: str, query: str, bound: str | tuple[str, ...] = ()) -> None:
     """Register a query that is the same text for either engine."""
-    sql(name, query, query)
+    sql(name, query, query, bound)

@@ -10,12 +10,12 @@ from larkspar.sources.tables import run_sql, table
 
 # Strings
 
-both("str_case", "SELECT c_custkey, lower(c_name) AS l, upper(c_mktsegment) AS u, length(c_name) AS n, reverse(c_name) AS r FROM customer WHERE c_custkey < 200")
+both("str_case", "SELECT c_custkey, lower(c_name) AS l, upper(c_mktsegment) AS u, length(c_name) AS n, reverse(c_name) AS r FROM customer WHERE c_custkey < 200", bound="c_custkey < 200")
 sql("str_lengths", "SELECT doc_id, length(t) AS n, octet_length(t) AS o, bit_length(t) AS b FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents) d", "SELECT doc_id, length(t) AS n, strlen(t) AS o, bit_length(t) AS b FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents) d")
 sql("str_trim", "SELECT n_nationkey, trim(BOTH 'x' FROM s) AS b, trim(LEADING 'x' FROM s) AS l, trim(TRAILING 'x' FROM s) AS t, btrim(concat('  ', n_name, ' ')) AS p FROM (SELECT n_nationkey, n_name, concat('xx', n_name, 'xyx') AS s FROM nation) n", "SELECT n_nationkey, trim(s, 'x') AS b, ltrim(s, 'x') AS l, rtrim(s, 'x') AS t, trim('  ' || n_name || ' ') AS p FROM (SELECT n_nationkey, n_name, 'xx' || n_name || 'xyx' AS s FROM nation) n")
-both("str_translate", "SELECT p_partkey, translate(p_name, 'abc', 'xy') AS t, replace(p_name, 'a', 'AA') AS r, replace(p_name, 'zzz', 'q') AS same FROM part WHERE p_partkey < 300")
-both("str_substring", "SELECT c_custkey, substring(c_name, 3, 4) AS a, substr(c_name, 2) AS b, left(c_name, 3) AS l, right(c_name, 4) AS r FROM customer WHERE c_custkey < 200")
-sql("str_concat", "SELECT o_orderkey, concat_ws('', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, o_orderpriority) AS c, o_orderstatus || '-' || o_orderpriority AS p, concat_ws('+', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, 'z') AS w FROM orders WHERE o_orderkey < 200", "SELECT o_orderkey, concat(o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, o_orderpriority) AS c, o_orderstatus || '-' || o_orderpriority AS p, concat_ws('+', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, 'z') AS w FROM orders WHERE o_orderkey < 200")
+both("str_translate", "SELECT p_partkey, translate(p_name, 'abc', 'xy') AS t, replace(p_name, 'a', 'AA') AS r, replace(p_name, 'zzz', 'q') AS same FROM part WHERE p_partkey < 300", bound="p_partkey < 300")
+both("str_substring", "SELECT c_custkey, substring(c_name, 3, 4) AS a, substr(c_name, 2) AS b, left(c_name, 3) AS l, right(c_name, 4) AS r FROM customer WHERE c_custkey < 200", bound="c_custkey < 200")
+sql("str_concat", "SELECT o_orderkey, concat_ws('', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, o_orderpriority) AS c, o_orderstatus || '-' || o_orderpriority AS p, concat_ws('+', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, 'z') AS w FROM orders WHERE o_orderkey < 200", "SELECT o_orderkey, concat(o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, o_orderpriority) AS c, o_orderstatus || '-' || o_orderpriority AS p, concat_ws('+', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'e' END, 'z') AS w FROM orders WHERE o_orderkey < 200", bound="o_orderkey < 200")
 
 
 @register("str_format", "SELECT n_nationkey, printf('%s is %s%%', n_name, CAST(n_regionkey AS VARCHAR)) AS s, CASE WHEN regexp_full_match(n_name, '[a-z_][a-z0-9_]*') THEN n_name ELSE '\"' || n_name || '\"' END || '=' || '''' || replace(n_name || '''s', '''', '''''') || '''' AS q FROM nation")
@@ -31,20 +31,20 @@ def str_quote(spark, sf_dir):
     return rows.select("k", exprs.quote_ident(s).alias("i"), exprs.quote_literal(s).alias("l"), exprs.quote_nullable(s).alias("n"))
 
 
-@register("str_regexp_replace", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*') AS first_, regexp_replace(p_name, '[aeiou]', '*', 'g') AS every_, regexp_replace(p_type, '[ar]+', '<>', 'i') AS ci FROM part WHERE p_partkey < 300")
-def str_regexp_replace(spark, sf_dir):
+@register("str_regexp_replace", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '*') AS first_, regexp_replace(p_name, '[aeiou]', '*', 'g') AS every_, regexp_replace(p_type, '[ar]+', '<>', 'i') AS ci FROM part WHERE p_partkey < 300", bound="p_partkey < 300")
+def str_regexp_replace(spark, sf_dir, bound):
     n, t = F.col("p_name"), F.col("p_type")
-    return table(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", exprs.regexp_replace_first(n, "[aeiou]", "*").alias("first_"), exprs.regexp_replace_first(n, "[aeiou]", "*", "g").alias("every_"), exprs.regexp_replace_first(t, "[ar]+", "<>", "i").alias("ci"))
+    return table(spark, sf_dir, "part").filter(bound).select("p_partkey", exprs.regexp_replace_first(n, "[aeiou]", "*").alias("first_"), exprs.regexp_replace_first(n, "[aeiou]", "*", "g").alias("every_"), exprs.regexp_replace_first(t, "[ar]+", "<>", "i").alias("ci"))
 
 
 sql("str_regexp_like", "SELECT p_partkey, regexp_like(p_type, 'S.*L') AS a, regexp_like(p_type, '(?i)s.*l') AS b FROM part", "SELECT p_partkey, regexp_matches(p_type, 'S.*L') AS a, regexp_matches(p_type, 's.*l', 'i') AS b FROM part")
 both("str_pad", "SELECT n_nationkey, lpad(n_name, 12, '*-') AS l, rpad(n_name, 12, '.') AS r, lpad(n_name, 3, 'x') AS c, repeat('ab', n_regionkey) AS p FROM nation")
-both("str_ascii", "SELECT c_custkey, ascii(c_mktsegment) AS a, chr(65 + CAST(c_custkey % 26 AS INT)) AS c, md5(c_name) AS m FROM customer WHERE c_custkey < 300")
+both("str_ascii", "SELECT c_custkey, ascii(c_mktsegment) AS a, chr(65 + CAST(c_custkey % 26 AS INT)) AS c, md5(c_name) AS m FROM customer WHERE c_custkey < 300", bound="c_custkey < 300")
 sql("str_encode", "SELECT n_nationkey, lower(hex(n_name)) AS h, base64(n_name) AS b, CAST(unhex(hex(n_name)) AS STRING) AS uh, CAST(unbase64(base64(n_name)) AS STRING) AS ub FROM nation", "SELECT n_nationkey, lower(hex(n_name)) AS h, base64(encode(n_name)) AS b, n_name AS uh, n_name AS ub FROM nation")
-sql("str_starts", "SELECT p_partkey, startswith(p_type, 'ST') AS s, endswith(p_type, 'RD') AS e, position('A' IN p_type) AS p, position('' IN p_type) AS z FROM part WHERE p_partkey < 300", "SELECT p_partkey, starts_with(p_type, 'ST') AS s, ends_with(p_type, 'RD') AS e, strpos(p_type, 'A') AS p, strpos(p_type, '') AS z FROM part WHERE p_partkey < 300".replace("strpos(p_type, '')", "1"))
+sql("str_starts", "SELECT p_partkey, startswith(p_type, 'ST') AS s, endswith(p_type, 'RD') AS e, position('A' IN p_type) AS p, position('' IN p_type) AS z FROM part WHERE p_partkey < 300", "SELECT p_partkey, starts_with(p_type, 'ST') AS s, ends_with(p_type, 'RD') AS e, strpos(p_type, 'A') AS p, strpos(p_type, '') AS z FROM part WHERE p_partkey < 300".replace("strpos(p_type, '')", "1"), bound="p_partkey < 300")
 sql("str_overlay", "SELECT n_nationkey, overlay(n_name PLACING '##' FROM 2 FOR 3) AS a, overlay(n_name PLACING '##' FROM 2) AS b FROM nation", "SELECT n_nationkey, substr(n_name, 1, 1) || '##' || substr(n_name, 5) AS a, substr(n_name, 1, 1) || '##' || substr(n_name, 4) AS b FROM nation")
-both("str_split_part", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS a, split_part(o_orderpriority, '-', 2) AS b, split_part(o_orderpriority, '-', 9) AS c FROM orders WHERE o_orderkey < 300")
-sql("str_to_array", "SELECT o_orderkey, size(split(o_orderpriority, '[- ]')) AS n, array_join(split(o_orderpriority, '[- ]'), '|') AS a FROM orders WHERE o_orderkey < 300", "SELECT o_orderkey, CAST(len(string_split_regex(o_orderpriority, '[- ]')) AS INTEGER) AS n, array_to_string(string_split_regex(o_orderpriority, '[- ]'), '|') AS a FROM orders WHERE o_orderkey < 300")
+both("str_split_part", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS a, split_part(o_orderpriority, '-', 2) AS b, split_part(o_orderpriority, '-', 9) AS c FROM orders WHERE o_orderkey < 300", bound="o_orderkey < 300")
+sql("str_to_array", "SELECT o_orderkey, size(split(o_orderpriority, '[- ]')) AS n, array_join(split(o_orderpriority, '[- ]'), '|') AS a FROM orders WHERE o_orderkey < 300", "SELECT o_orderkey, CAST(len(string_split_regex(o_orderpriority, '[- ]')) AS INTEGER) AS n, array_to_string(string_split_regex(o_orderpriority, '[- ]'), '|') AS a FROM orders WHERE o_orderkey < 300", bound="o_orderkey < 300")
 
 
 @register("str_initcap", "SELECT r_regionkey, 'Hello World' AS i FROM region")
@@ -64,7 +64,7 @@ def num_trunc(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_acctbal <> 0").select("c_custkey", exprs.trunc(x).alias("t0"), exprs.trunc(x, 1).alias("t1"))
 
 
-sql("num_div_mod", "SELECT o_orderkey, (o_orderkey - 500) % 7 AS m, (o_orderkey - 500) div 7 AS d FROM orders WHERE o_orderkey < 1000", "SELECT o_orderkey, (o_orderkey - 500) % 7 AS m, (o_orderkey - 500) // 7 AS d FROM orders WHERE o_orderkey < 1000")
+sql("num_div_mod", "SELECT o_orderkey, (o_orderkey - 500) % 7 AS m, (o_orderkey - 500) div 7 AS d FROM orders WHERE o_orderkey < 1000", "SELECT o_orderkey, (o_orderkey - 500) % 7 AS m, (o_orderkey - 500) // 7 AS d FROM orders WHERE o_orderkey < 1000", bound="o_orderkey < 1000")
 both("num_roots", "SELECT p_partkey, round(sqrt(p_size), 8) AS s, round(cbrt(p_size), 8) AS c, round(exp(p_size / 100.0), 8) AS e, round(ln(p_size), 8) AS l, round(pi(), 8) AS p FROM part WHERE p_size > 0")
 sql("num_logs", "SELECT p_partkey, round(log10(p_size), 8) AS l10, round(log(2, p_size), 8) AS l2, round(power(p_size, 1.5), 6) AS p FROM part WHERE p_size > 0", "SELECT p_partkey, round(log10(p_size), 8) AS l10, round(log2(p_size), 8) AS l2, round(power(p_size, 1.5), 6) AS p FROM part WHERE p_size > 0")
 both("num_trig", "SELECT p_partkey, round(sin(p_size), 8) AS s, round(cos(p_size), 8) AS c, round(tan(p_size), 6) AS t, round(asin(p_size / 100.0), 8) AS asn, round(acos(p_size / 100.0), 8) AS acs, round(atan(p_size), 8) AS atn, round(atan2(p_size, 3), 8) AS a2, round(radians(p_size), 8) AS r, round(degrees(p_size), 6) AS d FROM part WHERE p_size <= 100")
@@ -78,19 +78,19 @@ def num_random(spark, sf_dir):
 
 # Dates and times
 
-sql("date_extract", "SELECT event_id, extract(YEAR FROM ts) AS y, extract(MONTH FROM ts) AS mo, extract(DAY FROM ts) AS d, extract(HOUR FROM ts) AS h, extract(MINUTE FROM ts) AS mi, CAST(extract(SECOND FROM ts) AS INT) AS s, extract(QUARTER FROM ts) AS q, extract(DOY FROM ts) AS doy FROM events WHERE event_id < 500", "SELECT event_id, CAST(extract(YEAR FROM ts) AS INT) AS y, CAST(extract(MONTH FROM ts) AS INT) AS mo, CAST(extract(DAY FROM ts) AS INT) AS d, CAST(extract(HOUR FROM ts) AS INT) AS h, CAST(extract(MINUTE FROM ts) AS INT) AS mi, CAST(extract(SECOND FROM ts) AS INT) AS s, CAST(extract(QUARTER FROM ts) AS INT) AS q, CAST(extract(DOY FROM ts) AS INT) AS doy FROM events WHERE event_id < 500")
+sql("date_extract", "SELECT event_id, extract(YEAR FROM ts) AS y, extract(MONTH FROM ts) AS mo, extract(DAY FROM ts) AS d, extract(HOUR FROM ts) AS h, extract(MINUTE FROM ts) AS mi, CAST(extract(SECOND FROM ts) AS INT) AS s, extract(QUARTER FROM ts) AS q, extract(DOY FROM ts) AS doy FROM events WHERE event_id < 500", "SELECT event_id, CAST(extract(YEAR FROM ts) AS INT) AS y, CAST(extract(MONTH FROM ts) AS INT) AS mo, CAST(extract(DAY FROM ts) AS INT) AS d, CAST(extract(HOUR FROM ts) AS INT) AS h, CAST(extract(MINUTE FROM ts) AS INT) AS mi, CAST(extract(SECOND FROM ts) AS INT) AS s, CAST(extract(QUARTER FROM ts) AS INT) AS q, CAST(extract(DOY FROM ts) AS INT) AS doy FROM events WHERE event_id < 500", bound="event_id < 500")
 
 
-@register("date_epoch", "SELECT event_id, round(epoch(ts), 3) AS e FROM events WHERE event_id < 500")
-def date_epoch(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", F.round(exprs.epoch(F.col("ts")), 3).alias("e"))
+@register("date_epoch", "SELECT event_id, round(epoch(ts), 3) AS e FROM events WHERE event_id < 500", bound="event_id < 500")
+def date_epoch(spark, sf_dir, bound):
+    return table(spark, sf_dir, "events").filter(bound).select("event_id", F.round(exprs.epoch(F.col("ts")), 3).alias("e"))
 
 
-@register("date_trunc", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS d, strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M:%S') AS m FROM events WHERE event_id < 500")
-def date_trunc(spark, sf_dir):
+@register("date_trunc", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS d, strftime(date_trunc('month', ts), '%Y-%m-%d %H:%M:%S') AS m FROM events WHERE event_id < 500", bound="event_id < 500")
+def date_trunc(spark, sf_dir, bound):
     form = "yyyy-MM-dd HH:mm:ss"
     each = [F.date_format(F.date_trunc(unit, "ts"), form).alias(unit[0]) for unit in ("hour", "day", "month")]
-    return table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", *each)
+    return table(spark, sf_dir, "events").filter(bound).select("event_id", *each)
 
 
 @register("date_bin", "SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2001-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS b, count(*) AS n FROM events GROUP BY 1")
@@ -100,8 +100,8 @@ def date_bin(spark, sf_dir):
 
 
 sql("date_make", "SELECT n_nationkey, date_format(make_date(2020 + n_regionkey, 1 + n_nationkey % 12, 28), 'yyyy-MM-dd') AS d, date_format(make_timestamp_ntz(2021, 3, 4, n_nationkey % 24, 5, 6), 'yyyy-MM-dd HH:mm:ss') AS t, format_string('%02d:%02d:%02d', n_nationkey % 24, 7, 8) AS tm FROM nation", "SELECT n_nationkey, strftime(make_date(2020 + n_regionkey, 1 + n_nationkey % 12, 28), '%Y-%m-%d') AS d, strftime(make_timestamp(2021, 3, 4, n_nationkey % 24, 5, 6), '%Y-%m-%d %H:%M:%S') AS t, printf('%02d:%02d:%02d', n_nationkey % 24, 7, 8) AS tm FROM nation")
-sql("date_interval", "SELECT event_id, date_format(ts + INTERVAL 3 DAY - INTERVAL 90 MINUTE, 'yyyy-MM-dd HH:mm:ss') AS a, date_format(ts + make_dt_interval(2, 3, 4, 5), 'yyyy-MM-dd HH:mm:ss') AS b FROM events WHERE event_id < 300", "SELECT event_id, strftime(ts + INTERVAL 3 DAY - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts + to_days(2) + to_hours(3) + to_minutes(4) + to_seconds(5), '%Y-%m-%d %H:%M:%S') AS b FROM events WHERE event_id < 300")
-sql("date_age", "SELECT event_id, CAST(CAST(unix_seconds(CAST(ts AS TIMESTAMP)) - unix_seconds(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) AS BIGINT) AS s FROM events WHERE event_id < 300", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) AS s FROM events WHERE event_id < 300")
+sql("date_interval", "SELECT event_id, date_format(ts + INTERVAL 3 DAY - INTERVAL 90 MINUTE, 'yyyy-MM-dd HH:mm:ss') AS a, date_format(ts + make_dt_interval(2, 3, 4, 5), 'yyyy-MM-dd HH:mm:ss') AS b FROM events WHERE event_id < 300", "SELECT event_id, strftime(ts + INTERVAL 3 DAY - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts + to_days(2) + to_hours(3) + to_minutes(4) + to_seconds(5), '%Y-%m-%d %H:%M:%S') AS b FROM events WHERE event_id < 300", bound="event_id < 300")
+sql("date_age", "SELECT event_id, CAST(CAST(unix_seconds(CAST(ts AS TIMESTAMP)) - unix_seconds(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) AS BIGINT) AS s FROM events WHERE event_id < 300", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) AS s FROM events WHERE event_id < 300", bound="event_id < 300")
 
 
 @register("date_justify", "SELECT * FROM (VALUES (90061, '1 days 01:01:01'), (2700000, '1 mons 1 days 06:00:00'), (59, '00:00:59'), (5184000, '2 mons 00:00:00')) t(s, j)")
@@ -110,14 +110,14 @@ def date_justify(spark, sf_dir):
     return rows.select("s", exprs.justify_interval(F.col("s")).alias("j"))
 
 
-@register("date_to_char", "SELECT event_id, strftime(ts, '%Y/%m/%d %H.%M.%S') AS c FROM events WHERE event_id < 300")
-def date_to_char(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id < 300").select("event_id", exprs.to_char(F.col("ts"), "YYYY/MM/DD HH24.MI.SS").alias("c"))
+@register("date_to_char", "SELECT event_id, strftime(ts, '%Y/%m/%d %H.%M.%S') AS c FROM events WHERE event_id < 300", bound="event_id < 300")
+def date_to_char(spark, sf_dir, bound):
+    return table(spark, sf_dir, "events").filter(bound).select("event_id", exprs.to_char(F.col("ts"), "YYYY/MM/DD HH24.MI.SS").alias("c"))
 
 
-@register("date_parse", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, strftime(ts, '%Y-%m-%d') AS d, 1234.5 + event_id AS n FROM events WHERE event_id < 300")
-def date_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 300").select("event_id", F.date_format("ts", "dd.MM.yyyy HH:mm:ss").alias("s"))
+@register("date_parse", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, strftime(ts, '%Y-%m-%d') AS d, 1234.5 + event_id AS n FROM events WHERE event_id < 300", bound="event_id < 300")
+def date_parse(spark, sf_dir, bound):
+    e = table(spark, sf_dir, "events").filter(bound).select("event_id", F.date_format("ts", "dd.MM.yyyy HH:mm:ss").alias("s"))
     t = F.to_timestamp("s", exprs.date_pattern("DD.MM.YYYY HH24:MI:SS"))
     d = F.to_date(F.substring("s", 1, 10), exprs.date_pattern("DD.MM.YYYY"))
     number = F.to_number(F.lit("1,234.5"), F.lit("9G999D9")) + F.col("event_id")
@@ -139,7 +139,7 @@ def date_now(spark, sf_dir):
 
 # Arrays
 
-sql("array_basic", "SELECT vec_id, size(embedding) AS n, size(concat(embedding, slice(embedding, 1, 2))) AS c, array_join(transform(slice(embedding, 1, 3), x -> CAST(x > 0 AS STRING)), ',') AS s FROM embeddings WHERE vec_id < 100", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(len(list_concat(embedding, embedding[1:2])) AS INTEGER) AS c, array_to_string(list_transform(embedding[1:3], lambda x: CAST(x > 0 AS VARCHAR)), ',') AS s FROM embeddings WHERE vec_id < 100")
+sql("array_basic", "SELECT vec_id, size(embedding) AS n, size(concat(embedding, slice(embedding, 1, 2))) AS c, array_join(transform(slice(embedding, 1, 3), x -> CAST(x > 0 AS STRING)), ',') AS s FROM embeddings WHERE vec_id < 100", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(len(list_concat(embedding, embedding[1:2])) AS INTEGER) AS c, array_to_string(list_transform(embedding[1:3], lambda x: CAST(x > 0 AS VARCHAR)), ',') AS s FROM embeddings WHERE vec_id < 100", bound="vec_id < 100")
 
 
 @register("array_containment", "SELECT n_nationkey, n_regionkey IN (1, 2) AND n_nationkey IN (1, 2) AS contained, n_regionkey < 2 OR n_nationkey < 2 AS overlap FROM nation")
@@ -150,7 +150,7 @@ def array_containment(spark, sf_dir):
 
 # JSON
 
-sql("json_get", "SELECT event_id, get_json_object(props, '$.k') AS k, get_json_object(concat('{\"a\":{\"b\":[1,', event_id, ']}}'), '$.a.b[1]') AS deep, get_json_object(props, '$.none') AS none_ FROM events WHERE event_id < 300", "SELECT event_id, props ->> '$.k' AS k, ('{\"a\":{\"b\":[1,' || event_id || ']}}')::JSON ->> '$.a.b[1]' AS deep, CAST(NULL AS VARCHAR) AS none_ FROM events WHERE event_id < 300")
+sql("json_get", "SELECT event_id, get_json_object(props, '$.k') AS k, get_json_object(concat('{\"a\":{\"b\":[1,', event_id, ']}}'), '$.a.b[1]') AS deep, get_json_object(props, '$.none') AS none_ FROM events WHERE event_id < 300", "SELECT event_id, props ->> '$.k' AS k, ('{\"a\":{\"b\":[1,' || event_id || ']}}')::JSON ->> '$.a.b[1]' AS deep, CAST(NULL AS VARCHAR) AS none_ FROM events WHERE event_id < 300", bound="event_id < 300")
 
 
 @register("json_typeof", """SELECT * FROM (VALUES (1, 'object'), (2, 'array'), (3, 'string'), (4, 'number'), (5, 'boolean'), (6, 'null')) t(k, t)""")
@@ -162,21 +162,21 @@ def json_typeof(spark, sf_dir):
 sql("json_build", "SELECT n_nationkey, to_json(named_struct('id', n_nationkey, 'name', n_name, 'none', CAST(NULL AS INT)), map('ignoreNullFields', 'false')) AS o, to_json(array(n_nationkey, n_regionkey)) AS a FROM nation", "SELECT n_nationkey, CAST(json_object('id', n_nationkey, 'name', n_name, 'none', NULL) AS VARCHAR) AS o, CAST(json_array(n_nationkey, n_regionkey) AS VARCHAR) AS a FROM nation")
 sql("row_to_json", "SELECT to_json(struct(n_name, n_nationkey, n_regionkey)) AS j FROM nation", "SELECT CAST(json_object('n_name', n_name, 'n_nationkey', n_nationkey, 'n_regionkey', n_regionkey) AS VARCHAR) AS j FROM nation")
 sql("json_array_length", "SELECT k, json_array_length(j) AS n FROM VALUES (1, '[1,2,3]'), (2, '[]'), (3, '[[1],{}]') AS t(k, j)", "SELECT k, CAST(json_array_length(j::JSON) AS INTEGER) AS n FROM (VALUES (1, '[1,2,3]'), (2, '[]'), (3, '[[1],{}]')) AS t(k, j)")
-sql("json_valid", "SELECT event_id, try_parse_json(s) IS NOT NULL AS ok FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, 4) ELSE props END AS s FROM events WHERE event_id < 300) t", "SELECT event_id, json_valid(s) AS ok FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, 4) ELSE props END AS s FROM events WHERE event_id < 300) t")
-sql("json_path_exists", "SELECT event_id, variant_get(parse_json(props), '$.k') IS NOT NULL AS k, variant_get(parse_json(props), '$.z') IS NOT NULL AS z FROM events WHERE event_id < 300", "SELECT event_id, json_exists(props, '$.k') AS k, json_exists(props, '$.z') AS z FROM events WHERE event_id < 300")
-sql("json_concat", "SELECT event_id, to_json(map_concat(from_json(props, 'map<string,variant>'), from_json('{\"z\":[1]}', 'map<string,variant>'))) AS j FROM events WHERE event_id < 100", "SELECT event_id, CAST(json_merge_patch(props::JSON, '{\"z\":[1]}'::JSON) AS VARCHAR) AS j FROM events WHERE event_id < 100")
-sql("json_pretty_compact", "SELECT event_id, regexp_replace(to_json(from_json(props, 'map<string,int>'), map('pretty', 'true')), '[ \\n]', '') AS j FROM events WHERE event_id < 100", "SELECT event_id, replace(CAST(props AS VARCHAR), ' ', '') AS j FROM events WHERE event_id < 100")
+sql("json_valid", "SELECT event_id, try_parse_json(s) IS NOT NULL AS ok FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, 4) ELSE props END AS s FROM events WHERE event_id < 300) t", "SELECT event_id, json_valid(s) AS ok FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, 4) ELSE props END AS s FROM events WHERE event_id < 300) t", bound="event_id < 300")
+sql("json_path_exists", "SELECT event_id, variant_get(parse_json(props), '$.k') IS NOT NULL AS k, variant_get(parse_json(props), '$.z') IS NOT NULL AS z FROM events WHERE event_id < 300", "SELECT event_id, json_exists(props, '$.k') AS k, json_exists(props, '$.z') AS z FROM events WHERE event_id < 300", bound="event_id < 300")
+sql("json_concat", "SELECT event_id, to_json(map_concat(from_json(props, 'map<string,variant>'), from_json('{\"z\":[1]}', 'map<string,variant>'))) AS j FROM events WHERE event_id < 100", "SELECT event_id, CAST(json_merge_patch(props::JSON, '{\"z\":[1]}'::JSON) AS VARCHAR) AS j FROM events WHERE event_id < 100", bound="event_id < 100")
+sql("json_pretty_compact", "SELECT event_id, regexp_replace(to_json(from_json(props, 'map<string,int>'), map('pretty', 'true')), '[ \\n]', '') AS j FROM events WHERE event_id < 100", "SELECT event_id, replace(CAST(props AS VARCHAR), ' ', '') AS j FROM events WHERE event_id < 100", bound="event_id < 100")
 
 
-@register("json_contains", "SELECT event_id, json_extract_string(props, '$.k') = '5' AS c FROM events WHERE event_id < 500")
-def json_contains(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", json_edit.json_contains(F.col("props"), F.lit('{"k":5}')).alias("c"))
+@register("json_contains", "SELECT event_id, json_extract_string(props, '$.k') = '5' AS c FROM events WHERE event_id < 500", bound="event_id < 500")
+def json_contains(spark, sf_dir, bound):
+    return table(spark, sf_dir, "events").filter(bound).select("event_id", json_edit.json_contains(F.col("props"), F.lit('{"k":5}')).alias("c"))
 
 
-@register("json_set", "SELECT event_id, '{\"k\":[9]}' AS a, '{\"k\":' || (props ->> '$.k') || ',\"n\":true}' AS b FROM events WHERE event_id < 300")
-def json_set(spark, sf_dir):
+@register("json_set", "SELECT event_id, '{\"k\":[9]}' AS a, '{\"k\":' || (props ->> '$.k') || ',\"n\":true}' AS b FROM events WHERE event_id < 300", bound="event_id < 300")
+def json_set(spark, sf_dir, bound):
     p = F.col("props")
-    return table(spark, sf_dir, "events").filter("event_id < 300").select("event_id", json_edit.json_set(p, "{k}", "[9]").alias("a"), json_edit.json_set(p, "{n}", "true").alias("b"))
+    return table(spark, sf_dir, "events").filter(bound).select("event_id", json_edit.json_set(p, "{k}", "[9]").alias("a"), json_edit.json_set(p, "{n}", "true").alias("b"))
 
 
 @register("json_insert", "SELECT event_id, '{\"a\":[0,' || event_id || ',2]}' AS before_, '{\"a\":[0,1,' || event_id || ']}' AS after_ FROM events WHERE event_id = 7")
@@ -186,9 +186,16 @@ def json_insert(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id = 7").select("event_id", json_edit.json_insert(d, "{a,1}", "7").alias("before_"), json_edit.json_insert(e, "{a,1}", "7", True).alias("after_"))
 
 
-@register("json_delete", "SELECT event_id, '{}' AS a, '{\"x\":[1]}' AS b FROM events WHERE event_id < 300")
-def json_delete(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id < 300").select("event_id", json_edit.json_delete(F.col("props"), "{k}").alias("a"), json_edit.json_delete(F.lit('{"x":[1,2]}'), "{x,1}").alias("b"))
+@register("json_insert_whole", "SELECT event_id, '{\"a\":[0,7,2]}' AS before_, '{\"a\":[0,1,7]}' AS after_ FROM events")
+def json_insert_whole(spark, sf_dir):
+    d = F.lit('{"a":[0,2]}')
+    e = F.lit('{"a":[0,1]}')
+    return table(spark, sf_dir, "events").select("event_id", json_edit.json_insert(d, "{a,1}", "7").alias("before_"), json_edit.json_insert(e, "{a,1}", "7", True).alias("after_"))
+
+
+@register("json_delete", "SELECT event_id, '{}' AS a, '{\"x\":[1]}' AS b FROM events WHERE event_id < 300", bound="event_id < 300")
+def json_delete(spark, sf_dir, bound):
+    return table(spark, sf_dir, "events").filter(bound).select("event_id", json_edit.json_delete(F.col("props"), "{k}").alias("a"), json_edit.json_delete(F.lit('{"x":[1,2]}'), "{x,1}").alias("b"))
 
 
 @register("json_strip_nulls", "SELECT r_regionkey, '{\"a\":{\"c\":1},\"d\":[null]}' AS j FROM region")

@@ -10,7 +10,7 @@ from larkspar.sources.tables import run_sql, table
 
 # Sort, limit, distinct. Row order is not compared, so sorted results carry their position.
 
-both("order_by_nulls", "SELECT o_orderkey, row_number() OVER (ORDER BY x ASC NULLS LAST, o_orderkey) AS a, row_number() OVER (ORDER BY x DESC NULLS FIRST, o_orderkey) AS d FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders WHERE o_orderkey < 200) t")
+both("order_by_nulls", "SELECT o_orderkey, row_number() OVER (ORDER BY x ASC NULLS LAST, o_orderkey) AS a, row_number() OVER (ORDER BY x DESC NULLS FIRST, o_orderkey) AS d FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS x FROM orders WHERE o_orderkey < 200) t", bound="o_orderkey < 200")
 sql("order_by_all", "SELECT c_nationkey, c_custkey FROM customer ORDER BY ALL LIMIT 25", "SELECT c_nationkey, c_custkey FROM customer ORDER BY ALL LIMIT 25")
 both("order_by_expr", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY count(*) * -1, o_custkey LIMIT 20")
 both("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 15 OFFSET 30")
@@ -35,8 +35,12 @@ def distinct_on(spark, sf_dir):
 
 _A = "(SELECT o_custkey % 40 AS k, o_orderstatus AS s FROM orders WHERE o_orderkey < 600)"
 _B = "(SELECT o_custkey % 40 AS k, o_orderstatus AS s FROM orders WHERE o_orderkey BETWEEN 400 AND 900)"
+# All rows of two tables that share some rows, each with repeats of its own.
+_ORDERS = "(SELECT o_custkey % 400 AS k, o_orderstatus AS s FROM orders)"
+_LINES = "(SELECT l_partkey % 300 AS k, l_linestatus AS s FROM lineitem)"
 for _name, _op in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
     both(_name, f"SELECT * FROM {_A} a {_op} SELECT * FROM {_B} b")
+    both(f"{_name}_whole", f"SELECT * FROM {_ORDERS} a {_op} SELECT * FROM {_LINES} b")
 
 # Subqueries
 
