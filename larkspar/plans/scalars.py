@@ -12,6 +12,7 @@ from larkspar.sources.tables import run_sql, table
 
 both("str_case", "SELECT c_custkey, lower(c_name) AS l, upper(c_mktsegment) AS u, length(c_name) AS n, reverse(c_name) AS r FROM customer WHERE c_custkey < 200", bound="c_custkey < 200")
 sql("str_lengths", "SELECT doc_id, length(t) AS n, octet_length(t) AS o, bit_length(t) AS b FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents) d", "SELECT doc_id, length(t) AS n, strlen(t) AS o, bit_length(t) AS b FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents) d")
+sql("str_lengths_whole", "SELECT doc_id, length(text) AS n, octet_length(text) AS o, bit_length(text) AS b FROM documents", "SELECT doc_id, length(text) AS n, strlen(text) AS o, bit_length(text) AS b FROM documents")
 sql("str_trim", "SELECT n_nationkey, trim(BOTH 'x' FROM s) AS b, trim(LEADING 'x' FROM s) AS l, trim(TRAILING 'x' FROM s) AS t, btrim(concat('  ', n_name, ' ')) AS p FROM (SELECT n_nationkey, n_name, concat('xx', n_name, 'xyx') AS s FROM nation) n", "SELECT n_nationkey, trim(s, 'x') AS b, ltrim(s, 'x') AS l, rtrim(s, 'x') AS t, trim('  ' || n_name || ' ') AS p FROM (SELECT n_nationkey, n_name, 'xx' || n_name || 'xyx' AS s FROM nation) n")
 both("str_translate", "SELECT p_partkey, translate(p_name, 'abc', 'xy') AS t, replace(p_name, 'a', 'AA') AS r, replace(p_name, 'zzz', 'q') AS same FROM part WHERE p_partkey < 300", bound="p_partkey < 300")
 both("str_substring", "SELECT c_custkey, substring(c_name, 3, 4) AS a, substr(c_name, 2) AS b, left(c_name, 3) AS l, right(c_name, 4) AS r FROM customer WHERE c_custkey < 200", bound="c_custkey < 200")

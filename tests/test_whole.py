@@ -30,3 +30,13 @@ def test_other_whole_queries(spark, sf_dir):
     assert count["join_merge"] == plans.QUERIES["project_expr_whole"](spark, sf_dir).count()
     assert 0 < count["intersect"] < count["intersect_all"] and 0 < count["except"] < count["except_all"]
     assert {r["a"] for r in plans.QUERIES["bit_agg_whole"](spark, sf_dir).collect()} == {0}
+
+
+def test_lengths_and_elements_are_those_of_whole_values(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n"], r["o"], r["b"]) for r in plans.QUERIES["str_lengths_whole"](spark, sf_dir).collect()}
+    assert got == {i: (None, None, None) if t is None else (len(t), len(t.encode()), 8 * len(t.encode())) for i, t in texts.items()}
+    assert max(n or 0 for n, _, _ in got.values()) > 40
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    elements = plans.QUERIES["lateral_unnest_whole"](spark, sf_dir).collect()
+    assert {(r["vec_id"], r["ord"]) for r in elements} == {(v["vec_id"], k) for v in vectors for k in range(1, len(v["embedding"]) + 1)}
