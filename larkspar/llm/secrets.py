@@ -2,7 +2,8 @@
 
 The rules find assignments, access keys and long hexadecimal strings. Beyond them, every long run of key characters is scored by a Markov model of
 random strings and one of ordinary identifiers, both of order 1 with start and end states; a run whose log-likelihood ratio is high enough, in all and a character, is a
-span of kind ``random`` unless it meets a rule's span. Both models are trained from labelled samples.
+span of kind ``random``. If the whole run is not, its maximal segments are tried, so that a key glued to a path or a name is found; of a run that meets a rule's span, the
+parts outside it are scored. Both models are trained from labelled samples.
 
 Rows: null text counts as empty and has no spans. Positions are code points, ends exclusive.
 """
@@ -28,6 +29,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio, in nats, that a run needs in all and for each character.
 LEAST_RATIO, LEAST_MEAN = 15.0, 0.45
+#: Characters that a segment of a run, or what a rule leaves of one, needs.
+LEAST_LENGTH = 20
 #: Labelled samples of each kind.
 SAMPLES = 4_000
 
@@ -84,9 +87,13 @@ class RatioModel:
         totals = [{a: sum(row.values()) for a, row in c.items()} for c in counts]
         self.ratio = {a + b: math.log(counts[1][a][b] / totals[1][a]) - math.log(counts[0][a][b] / totals[0][a]) for a in states for b in states}
 
-    def score(self, run: str) -> float:
+    def steps(self, run: str) -> list[float]:
+        """The ratio of each transition: into each character, and out of the last."""
         ratio = self.ratio
-        return sum(ratio[a + b] for a, b in zip("^" + run, run + "$", strict=True))
+        return [ratio[a + b] for a, b in zip("^" + run, run + "$", strict=True)]
+
+    def score(self, run: str) -> float:
+        return sum(self.steps(run))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -99,19 +106,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def segments(steps: list[float]) -> list[tuple[int, int]]:
+    """All maximal segments of positive sum, (start, end) by start: the best one, then the best on either side of it, and so on (Ruzzo and Tompa), in linear time."""
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum to the end, the nearest earlier one with a lower sum before
+    at = 0.0
+    for i, step in enumerate(steps):
+        before, at = at, at + step
+        if step <= 0:
+            continue
+        start = i
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= at:
+                break
+            start, before = found[j][0], found[j][2]
+            del found[j:]
+        found.append((start, i + 1, before, at, j))
+    return [(a, b) for a, b, *_ in found]
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range that no span covers; spans are by start."""
+    out = []
+    for a, _, b in spans:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                out.append((start, a))
+            start = b
+    if start < end:
+        out.append((start, end))
+    return out
+
+
+def random_parts(run: str, model: RatioModel) -> list[tuple[int, int]]:
+    """The run itself if it looks random as one, else those of its segments, of LEAST_LENGTH characters at least, that do."""
+    n = len(run)
+    if n < LEAST_LENGTH:
+        return []
+    steps = model.steps(run)
+    got = sum(steps)
+    if got >= LEAST_RATIO and got >= LEAST_MEAN * n:
+        return [(0, n)]
+    # Less the mean a character, a segment's sum is positive only if its mean is high enough.
+    out = []
+    for a, b in segments([x - LEAST_MEAN for x in steps]):
+        if min(b, n) - a >= LEAST_LENGTH and sum(steps[a:b]) >= LEAST_RATIO:
+            out.append((a, min(b, n)))
+    return out
+
+
 def model_spans(text: str, model: RatioModel, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs that look random and meet no span in ``taken``."""
-    out, k, reach, order = [], 0, 0, sorted(taken)
+    """Runs, and segments of runs, that look random, outside the spans in ``taken``."""
+    out, order = [], sorted(taken)
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        while k < len(order) and order[k][0] < end:
-            reach = max(reach, order[k][2])
-            k += 1
-        if reach > start:
-            continue
-        got = model.score(m[0])
-        if got >= LEAST_RATIO and got >= LEAST_MEAN * (end - start):
-            out.append((start, 3, end))
+        for start, end in outside(*m.span(), order):
+            out += [(start + a, 3, start + b) for a, b in random_parts(text[start:end], model)]
     return out
 
 
