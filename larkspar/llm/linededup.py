@@ -2,7 +2,8 @@
 
 A run is a table (key, n_docs, top), sorted by key: the hash of a line's key, how many documents hold it and the largest id of them. Each new batch of
 documents adds its own run at the lowest level; when a level has FANOUT runs, they are merged into one of the next level, so that each entry is rewritten
-a logarithmic number of times. A merge anti-join of a batch's lines with the runs then drops the lines that other documents hold.
+a logarithmic number of times. ``dedup_lines`` sums all runs by key and drops, by a join, the lines that enough documents hold: a grouped count, since its rule needs the counts of known lines too. The merge anti-join of a
+batch with the runs is for batches that come later: ``admit`` drops the lines that earlier ones hold.
 
 All of it is DataFrame code. Lines travel as 16-byte hashes, once to be counted and once to be looked up; texts move once, to meet their dropped lines. Counts are pre-aggregated before the shuffle,
 and a line that a third of all documents hold meets its one run entry in a join that adaptive execution splits.
