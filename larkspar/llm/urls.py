@@ -1,13 +1,13 @@
 """URL filters: host and path rules, and for the rest a path-template tree of each host.
 
-A path becomes a template in two steps: digits in a segment become ``#``, and where the branches below a node of a host are many and hold few pages each, the segment is variable and becomes ``*``. Every prefix of a template is a
+A path becomes a template in two steps: digits in a segment become ``#``, and, from the host's root down, where the branches below a node (as generalised so far) are many and hold few pages each, the segment is variable and becomes ``*``. Every prefix of a template is a
 node, with the labelled pages below it and how many of those are blocked. A branch that is statistically like the node above it (a two-proportion test), or has no labelled page, is merged into it; a page is judged by the deepest
 node of its template that stands on its own, and blocked if the smoothed share of blocked pages there is high. Labels are the verdicts of the rules, or a column.
 
 All of it is DataFrame code. Pages are first counted by (host, template), with partial sums before the shuffle, so that a host with a third of all pages is as many rows as it has templates; the tree is
 grouped sums and joins by (host, node), never all of a host in one task.
 
-Rows: a url that is null or lacks ``://`` has an empty host and path, fits no rule and is judged at the empty host's root. Repeated pages stay and count each. Segments below DEPTH grow no nodes of their own.
+Rows: a url that is null or lacks ``://`` has an empty host and path, fits no rule and is judged at the empty host's root. Repeated pages stay and count each. Every segment of a path is a level of the tree.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import LOWER, UPPER
+from larkspar.llm.common import LOWER, UPPER, Stash, dropped_with
 
-#: Levels of the tree below a host.
+#: Levels of the tree below a host in the SQL of op9_urls; the tree itself has all.
 DEPTH = 6
 #: A node's branches are one variable segment if they are so many and hold fewer pages each, on average.
 MANY, FEW = 16, 4
@@ -74,6 +74,21 @@ def _levels(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _generalised(counted: DataFrame) -> Stash:
+    """``counted`` (host, template, n, ...) with ``general``: the template with variable segments as ``*``, level by level, each node's branches counted under its parents as already generalised."""
+    segs = F.filter(F.split("template", "/"), lambda s: s != "")
+    now = Stash(counted.withColumns({"general": F.lit(""), "depth": F.size(segs)}))
+    for level in range(now.df.agg(F.max("depth")).first()[0] or 0):
+        deep, seg = F.col("depth") > level, F.get(segs, F.lit(level))
+        branches = now.df.filter(deep).groupBy("host", "general", seg.alias("seg")).agg(F.sum("n").alias("n"))
+        variable = branches.groupBy("host", "general").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).filter((F.col("k") >= MANY) & (F.col("m") < FEW * F.col("k"))).select("host", "general", F.lit("*").alias("wild"))
+        longer = F.concat(F.col("general"), F.lit("/" if level else ""), F.coalesce("wild", seg))
+        after = Stash(now.df.join(variable, ["host", "general"], "left").select(*[c for c in now.df.columns if c != "general"], F.when(deep, longer).otherwise(F.col("general")).alias("general")))
+        now.drop()
+        now = after
+    return now
+
+
 def judge(pages: DataFrame, known: tuple[Rule, ...], *, page_id: str = "page_id", url: str = "url", label: str | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and block_share (of the deciding node) for each row.
 
@@ -84,20 +99,12 @@ def judge(pages: DataFrame, known: tuple[Rule, ...], *, page_id: str = "page_id"
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), known)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     segments = F.filter(F.split(F.regexp_replace("path", "[0-9]+", "#"), "/"), lambda s: s != "")
-    rows = rows.withColumn("template", F.array_join(F.slice(segments, 1, DEPTH), "/"))
+    rows = rows.withColumn("template", F.array_join(segments, "/"))
     given = F.col("label" if label else "ruled")
 
     counted = rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count(given).alias("labelled"), F.count(F.when(given == "block", 1)).alias("blocked"))
-    # Variable segments: by node, how many branches it has and how many pages they hold.
-    ways = _levels(counted, "n")
-    branches = ways.groupBy("host", "parent", "seg").agg(F.sum("n").alias("n"))
-    variable = branches.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter((F.col("k") >= MANY) & (F.col("n") < FEW * F.col("k"))).select("host", "parent", F.lit("*").alias("wild"))
-    general = (
-        ways.join(variable, ["host", "parent"], "left")
-        .groupBy("host", "template")
-        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("depth", F.coalesce("wild", "seg").alias("seg"))))["seg"], "/").alias("general"))
-    )
-    general = counted.join(general, ["host", "template"], "left").select("host", "template", F.coalesce("general", F.lit("")).alias("general"), "labelled", "blocked")
+    grown = _generalised(counted)
+    general = grown.df.select("host", "template", "general", "labelled", "blocked")
     # Nodes: labelled and blocked pages at every prefix of a general template, the host's root at depth 0.
     whole = general.groupBy("host", F.col("general").alias("template")).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     below = _levels(whole, "labelled", "blocked")
@@ -117,6 +124,7 @@ def judge(pages: DataFrame, known: tuple[Rule, ...], *, page_id: str = "page_id"
     ways = _levels(whole).select("host", "template", "depth", join_node.alias("node")).unionByName(whole.select("host", "template", F.lit(0).alias("depth"), F.lit("").alias("node")))
     decided = ways.join(standing, ["host", "depth", "node"]).groupBy("host", F.col("template").alias("general")).agg(F.max_by("share", "depth").alias("block_share"))
     verdicts = general.join(decided, ["host", "general"]).select("host", "template", "block_share")
-    return rows.join(verdicts, ["host", "template"], "left").select(
+    out = rows.join(verdicts, ["host", "template"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_share") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "block_share"
     )
+    return dropped_with(out, grown)
