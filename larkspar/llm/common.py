@@ -106,6 +106,11 @@ def dropped_with(df: DataFrame, *stashes: Stash) -> DataFrame:
     return df
 
 
+def numbered(df: DataFrame, name: str) -> Stash:
+    """``df`` with a number of its own for each row, written, so that it stays the row's: an id may be null or repeated."""
+    return Stash(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def _quiet_drop(spark: SparkSession, path: str) -> None:
     try:
         delete_path(spark, path)

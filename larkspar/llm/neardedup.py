@@ -13,7 +13,7 @@ other in blocks, the ones outside its largest component against all, as matrix p
 What goes between the rounds is written to the shared folder. No list, component or group is ever in one task as a whole: minima and counts are partial sums, and joins on a hot list are split by adaptive execution.
 
 Rows: null, empty and blank texts have an empty set and are linked with nothing. Fewer words than a shingle: the whole sequence is the only one. Repeated rows link; rows that share an id are one node of the graph.
-Rows of a null id link nothing: they have the component of a row with an id and an equal set, if there is one, else none, and are then kept.
+Rows of a null id link nothing: they have the component of a row with an id and an equal set, if there is one, else none, and are then kept. near_dedup numbers the rows and so decides on each of them.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import Stash, byte_text, fold, map_rows
+from larkspar.llm.common import Stash, byte_text, dropped_with, fold, map_rows, numbered
 
 COORDINATES, ROWS, MATCHES = 40, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
@@ -377,6 +377,17 @@ def _round(lists: DataFrame, pivots: int, numerator: int, denominator: int) -> t
 
 
 def near_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 4, denominator: int = 5) -> DataFrame:
-    """All columns of ``df``, one document of each component: that of the smallest id. Documents without shingles all stay."""
-    gone = link(df, doc_id=doc_id, text=text, size=size, numerator=numerator, denominator=denominator).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, df[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    """All columns of ``df``, one row of each component: that of the smallest id, a null one after all others. Rows without shingles all stay.
+
+    Rows are linked by their texts alone, each as a node of its own, so that a null or repeated id neither saves a copy nor joins unlike texts.
+    """
+    rows = numbered(df, "__row")
+    linked = Stash(link(rows.df, doc_id="__row", text=text, size=size, numerator=numerator, denominator=denominator).select(F.col("doc_id").alias("r"), F.col("component_id").alias("component")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "r")
+    ids = rows.df.select(F.col("__row").alias("r"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
+    # Most components are single rows, of which none goes.
+    shared = linked.df.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component")
+    members = Stash(linked.df.join(shared, "component").join(ids, "r"))
+    least = members.df.groupBy("component").agg(F.min(order)["r"].alias("stays"))
+    gone = members.df.join(least, "component").filter("r <> stays").select(F.col("r").alias("__row"))
+    return dropped_with(rows.df.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns]), rows, linked, members)
