@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -147,3 +150,52 @@ def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, metric:
     q = F.lit([float(x) for x in query])
     out = df.withColumn("distance", distance(F.col(vector), q)).orderBy("distance", *([tie] if tie else []))
     return (out.offset(offset) if offset else out).limit(k)
+
+
+#: Query vectors that go to the tasks at once.
+QUERIES = 1024
+
+
+def _nearest_of_block(ids: list[int], block: np.ndarray, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's rows (key, vector), the k nearest to each query, ties by key; vectors without a distance come last."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        for batch in batches:
+            keys, vectors = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), np.float64)
+            for i, q in enumerate(block):
+                if metric == "l2":
+                    d = np.sqrt(((vectors - q) ** 2).sum(axis=1))
+                else:
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = 1 - vectors @ q / (np.sqrt((vectors**2).sum(axis=1)) * np.sqrt((q**2).sum()))
+                d, at = np.concatenate((near[i][0], d)), np.concatenate((near[i][1], keys))
+                best = np.lexsort((at, d))[:k]
+                near[i] = d[best], at[best]
+        each = [len(d) for d, _ in near]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), each)), pa.array(np.concatenate([a for _, a in near])), pa.array(np.concatenate([d for d, _ in near]))], names=["query", "key", "distance"])
+
+    return work
+
+
+def nearest_each(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "l2", offset: int = 0) -> DataFrame:
+    """(query, key, distance): for each row of ``queries``, ORDER BY vector <-> query, key LIMIT k OFFSET offset over all of ``df``.
+
+    Exact, by one pass over ``df`` for each block of queries, with a bounded top-k of each task and query and one merge of those. Null vectors are left out on both sides.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
+    parts, block = [], []
+
+    def close() -> None:
+        work = _nearest_of_block([r[0] for r in block], np.array([r[1] for r in block], np.float64), k + offset, metric)
+        parts.append(rows.mapInArrow(work, "query bigint, key bigint, distance double"))
+        block.clear()
+
+    for row in queries.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES:
+            close()
+    if block or not parts:
+        close() if block else parts.append(df.sparkSession.createDataFrame([], "query bigint, key bigint, distance double"))
+    n = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
+    return reduce(DataFrame.unionByName, parts).withColumn("n", n).filter((F.col("n") > offset) & (F.col("n") <= k + offset)).drop("n")

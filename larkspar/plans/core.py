@@ -88,6 +88,26 @@ def knn_cosine(spark, sf_dir):
     return rel.nearest(vectors, "embedding", query, 5, "cosine", "vec_id", offset=2).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
+@register("knn_l2_each", """
+WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) AS distance
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+SELECT query_id, vec_id, round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d.distance, vec_id) <= 10""")
+def knn_l2_each(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    near = rel.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, "l2")
+    return near.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.round("distance", 5).alias("distance"))
+
+
+@register("knn_cosine_each", """
+WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)))) AS distance
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+SELECT query_id, vec_id, round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d.distance, vec_id) BETWEEN 3 AND 7""")
+def knn_cosine_each(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    near = rel.nearest_each(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5, "cosine", offset=2)
+    return near.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.round("distance", 5).alias("distance"))
+
+
 @register("copy_roundtrip", "SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE props || chr(9) || 'a\\b' || chr(10) END AS p FROM events WHERE event_id < 500", bound="event_id < 500")
 def copy_roundtrip(spark, sf_dir, bound):
     df = run_sql(spark, sf_dir, f"SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE props || '\\t' || 'a\\\\b' || '\\n' END AS p FROM events WHERE {bound}")
