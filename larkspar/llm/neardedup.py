@@ -1,19 +1,21 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 A text is a set of word shingles, as 64-bit hashes; its signature has COORDINATES values, each of ROWS min-hashes, so that unlike texts with some common shingles, whose number of pairs grows with the square of the corpus, rarely agree in
-any. Rows with equal sets are one class at once. Each class is posted under each of its coordinate-value pairs. Two sets at a similarity of 0.8 agree in MATCHES coordinates but for one pair in a million, and the rest is the
+any. Rows with equal sets are one class at once. Each class is posted under each of its coordinate-value pairs. Two sets at a similarity of 0.8 agree in MATCHES coordinates but for one pair in three million, and the rest is the
 T-occurrence problem: order a class's posting lists from short to long; two classes that agree in MATCHES coordinates share one of the first COORDINATES - MATCHES + 1 lists of each (the prefix), so the long lists are skipped, and lists of one class lead
-nowhere. Pairs from the prefix lists have their agreeing coordinates counted, those with MATCHES or more are confirmed on the full sets, and confirmed links join components.
+nowhere. Pairs that meet in a prefix list have their collisions counted over all coordinates, the skipped lists' too: COORDINATES lanes of 7 bits, compared a word at a time, so that two values that differ count as a collision once in 128 and none is
+overlooked. Pairs with MATCHES or more are confirmed on the full sets, and confirmed links join components.
 
-Pairs within a list are not all made. In a first round each class meets the list's first one only, which joins the bulk of a large group of near copies; in later rounds only lists that still hold several
-components are used, and only pairs of different components: all of them for a short list, and for a long one those with ever more of its classes, each of which leaves the list when it has met all others. So a group of n near
-copies costs about n pairs, and yet no pair that could join two components is left out. Drifted copies, which met the same first class and are not all linked, would still be many pairs; those of one such anchor are held against each
-other in blocks, the ones outside its largest component against all, as matrix products that return the links alone.
+Pairs within a list are not all made. First each class meets its lists' first classes only, which joins the bulk of a large group of near copies. Then lists that still hold several components make the rest: a list of up to SHORT classes all its
+pairs of different components. A longer one sends its classes to the family of its first class, where those outside the largest component, or outside the family that most of them are also in and have been compared in, are held against all
+in blocks, as exact matrix products of the sets that return links alone. So every pair of different components that shares a prefix list is looked at; a group of n near copies costs about n pairs, and one of n documents that share much
+and are not linked costs rows in proportion to n, a row for each class and block of BLOCK others (the products' additions still grow with the square of such a group).
 
-What goes between the rounds is written to the shared folder. No list, component or group is ever in one task as a whole: minima and counts are partial sums, and joins on a hot list are split by adaptive execution.
+What goes between the steps is written to the shared folder. No list, component or group is ever in one task as a whole: minima and counts are partial sums, joins on a hot list are split by adaptive execution, and families by blocks.
 
-Rows: null, empty and blank texts have an empty set and are linked with nothing. Fewer words than a shingle: the whole sequence is the only one. Repeated rows link; rows that share an id are one node of the graph.
-Rows of a null id link nothing: they have the component of a row with an id and an equal set, if there is one, else none, and are then kept. near_dedup numbers the rows and so decides on each of them.
+Rows: null, empty and blank texts have an empty set and are linked with nothing. Fewer words than a shingle: the whole sequence is the only one. A very long text is one set, in one task; its words are never cut. Repeated rows link; rows that share an id are
+one node of the graph. Ties: a list's first class is the one of the smallest id. Rows of a null id link nothing: they have the component of a row with an id and an equal set, if there is one, else none, and are then kept. near_dedup numbers the
+rows and so decides on each of them. An empty table gives an empty one of the same columns; columns other than id and text are not read by ``link`` and go through ``near_dedup`` whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +34,10 @@ from larkspar.llm.common import Stash, byte_text, dropped_with, fold, map_rows,
 
 COORDINATES, ROWS, MATCHES = 40, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
-#: Classes of a list up to which all its pairs of different components are made, after the first round.
+#: Classes of a list up to which all its pairs of different components are made.
 SHORT = 12
-#: Of the COORDINATES * ROWS single min-hashes, how many a pair may differ in to be confirmed: at a similarity of 0.8, more for one pair in ten million. Their words, and what tells the lanes of two words that differ.
-DIFFER = 48
-TAGS = [f"t{k}" for k in range(-(-COORDINATES * ROWS // 7))]
+#: Words of 7 lanes of 7 bits, a lane for each coordinate, and what tells the lanes in which two words differ.
+TAGS = [f"t{k}" for k in range(-(-COORDINATES // 7))]
 _FILL, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 #: Classes of a block that is held against another, and columns of their matrices at a time.
 BLOCK, COLUMNS = 512, 4096
@@ -90,13 +91,6 @@ def _least(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def _tags(least: np.ndarray) -> np.ndarray:
-    """7 bits of each min-hash, in lanes of 8 bits, 7 lanes to a signed 64-bit word, so that lanes can be added without a carry between them or into the sign."""
-    lanes = np.zeros(len(TAGS) * 7, np.uint64)
-    lanes[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(25)
-    return (lanes.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
 def signature(found: np.ndarray) -> np.ndarray:
     """The COORDINATES values of a set, 64 bits each, of its min-hashes and the coordinate's number."""
     rows = _least(found).reshape(COORDINATES, ROWS).astype(np.uint64)
@@ -107,6 +101,13 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))).astype("<u8")
 
 
+def _tags(coordinates: np.ndarray) -> np.ndarray:
+    """7 bits of each coordinate, in lanes of 8 bits, 7 lanes to a signed 64-bit word, so that lanes can be added without a carry between them or into the sign."""
+    lanes = np.zeros(len(TAGS) * 7, np.uint64)
+    lanes[:COORDINATES] = coordinates >> np.uint64(57)
+    return (lanes.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, cls, sig) of rows (id, text): set size, digest of the set and its signature; the last two null for an empty set."""
 
@@ -128,33 +129,34 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(rep, full, t0, t1, ...) of rows (rep, text): the set as packed sorted hashes, and its min-hashes, 7 bits of each, 7 to a word."""
+    """(rep, n, full, t0, t1, ...) of rows (rep, text): the set's size, the set as packed sorted hashes, and 7 bits of each coordinate, 7 to a word."""
 
     def make():
         shingle = Shingler(size)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingle(t) for t in byte_text(batch, "text")]
-            tags = np.stack([_tags(_least(x)) for x in found])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), *(pa.array(np.ascontiguousarray(tags[:, k])) for k in range(len(TAGS)))], names=["rep", "full", *TAGS])
+            tags = np.stack([_tags(signature(x)) for x in found])
+            words = [pa.array(np.ascontiguousarray(tags[:, k])) for k in range(len(TAGS))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), *words], names=["rep", "n", "full", *TAGS])
 
         return work
 
-    return map_rows(docs, make, "rep bigint, full binary, " + ", ".join(f"{t} bigint" for t in TAGS))
+    return map_rows(docs, make, "rep bigint, n bigint, full binary, " + ", ".join(f"{t} bigint" for t in TAGS))
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(key, rep, c, n) of rows (rep, c, n, sig): a class under each of its coordinate-value pairs."""
+    """(key, rep, c) of rows (rep, c, sig): a class under each of its coordinate-value pairs."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i8")
-            same = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), COORDINATES)) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(keys), *same], names=["key", "rep", "c", "n"])
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
+            same = [pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), COORDINATES)) for k in range(2)]
+            return pa.RecordBatch.from_arrays([pa.array(keys), *same], names=["key", "rep", "c"])
 
         return work
 
-    return map_rows(classes, make, "key bigint, rep bigint, c bigint, n bigint")
+    return map_rows(classes, make, "key bigint, rep bigint, c bigint")
 
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
@@ -217,65 +219,66 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int
 
 def _class_links(classes: Stash, docs: DataFrame, size: int, numerator: int, denominator: int) -> Stash:
     """(a, b): confirmed links between class representatives, enough of them to join every component."""
-    posted = Stash(_postings(classes.df.select("rep", F.xxhash64("cls").alias("c"), "n", "sig")))
+    posted = Stash(_postings(classes.df.select("rep", F.xxhash64("cls").alias("c"), "sig")))
     repeated = Stash(posted.df.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     # Of each class: lists of one class come first in its order; of the others, the shortest fill the prefix.
-    mine = posted.df.join(repeated.df, "key").groupBy("rep", "c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("es"), F.first("n").alias("n"))
+    mine = posted.df.join(repeated.df, "key").groupBy("rep", "c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("es"))
     room = F.size("es") + F.lit(PREFIX - COORDINATES)
-    prefix = mine.filter(room > 0).select("rep", "n", F.explode(F.slice("es", F.lit(1), room)).alias("e")).select(F.col("e.key").alias("key"), "rep", "n")
-    lists = Stash(prefix.distinct())
-    posted.drop()
-    repeated.drop()
-    reps = lists.df.select("rep").distinct()
+    prefix = Stash(mine.filter(room > 0).select("rep", F.explode(F.slice("es", F.lit(1), room)).alias("e")).select(F.col("e.key").alias("key"), "rep").distinct())
+    for s in (posted, repeated):
+        s.drop()
+    reps = prefix.df.select("rep").distinct()
     sets = Stash(_sets(docs.join(reps, F.col("id") == F.col("rep"), "left_semi"), size))
-    found = Stash(docs.sparkSession.createDataFrame([], "a bigint, b bigint"))
-    lists = _labelled(lists, sets, None, None)
-    graph = settled = tested = None
-    pivots = 1
-    while lists is not None:
-        pairs, left = _round(lists.df, pivots, numerator, denominator)
-        if tested is not None:
-            pairs = pairs.join(tested.df, ["a", "b"], "left_anti")
-        pairs, left = Stash(pairs), Stash(left)
-        full = pairs.df.join(sets.df.select(F.col("rep").alias("a"), F.col("full").alias("full_a")), "a").join(sets.df.select(F.col("rep").alias("b"), F.col("full").alias("full_b")), "b")
-        met = Stash(_overlaps(full.select("a", "b", "full_a", "full_b")))
-        links = met.df.filter(F.col("shared") * denominator >= F.col("whole") * numerator).select("a", "b")
-        found, graph = _joined(found, graph, links)
-        if pivots == 1:
-            # Of the first classes of its lists, a class remembers the smallest.
-            first = lists.df.groupBy("key").agg(F.min("rep").alias("anchor"))
-            anchors = Stash(lists.df.select("key", "rep").join(first, "key").filter("rep <> anchor").groupBy("rep").agg(F.min("anchor").alias("anchor")))
-        lists.drop()
-        lists = _labelled(left, sets, graph, settled)
-        if settled is None and lists is not None:
-            links, settled = _anchor_links(lists, sets, anchors.df, numerator, denominator)
-            anchors.drop()
-            found, graph = _joined(found, graph, links.df)
-            links.drop()
-            lists = _labelled(lists, sets, graph, settled)
-        before, tested = tested, pairs if tested is None else Stash(tested.df.unionByName(pairs.df))
-        for s in (met,) if before is None else (met, before, pairs):
-            s.drop()
-        pivots *= 16
-    for s in (sets, settled, graph, tested):
-        if s is not None:
-            s.drop()
-    return found
-
-
-def _joined(found: Stash, graph: Stash | None, links: DataFrame) -> tuple[Stash, Stash | None]:
-    """All links and their components, with new links; the old ones go, but if there is nothing new."""
-    if not links.limit(1).count():
-        return found, graph
-    every = Stash(found.df.unionByName(links).distinct())
-    found.drop()
-    if graph is not None:
-        graph.drop()
-    return every, components(every.df)
+    if sets.df.count() > reps.count():  # repeated ids
+        every, sets = sets, Stash(sets.df.dropDuplicates(["rep", "full"]))
+        every.drop()
+    tags = sets.df.select("rep", "n", *TAGS)
+    lists = Stash(prefix.df.join(tags, "rep"))
+    prefix.drop()
+
+    first = lists.df.groupBy("key").agg(F.min(F.struct("rep", "n", *TAGS)).alias("p"))
+    met = Stash(_colliding(lists.df.join(first.select("key", *_renamed("p.", "p")), "key").filter("rep <> prep"), numerator, denominator))
+    links = Stash(_confirmed(met, sets, numerator, denominator))
+    met.drop()
+    graph = components(links.df)
+
+    now = lists.df.join(graph.df, F.col("rep") == F.col("v"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"), *TAGS)
+    state = now.groupBy("key").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    left = Stash(now.join(state.select("key", "anchor", "k"), "key"))
+    for s in (lists, graph):
+        s.drop()
+    short = left.df.filter(F.col("k") <= SHORT).groupBy("key", "anchor").agg(F.collect_list(F.struct("rep", "n", "comp", *TAGS)).alias("m"))
+    each = short.select("anchor", F.explode("m").alias("x"), "m").select("anchor", "x", F.explode("m").alias("y"))
+    each = each.select("anchor", *_renamed("x.", "", "comp"), *_renamed("y.", "p", "comp"))
+    met = Stash(_colliding(each.filter("rep < prep AND comp <> pcomp AND rep <> anchor"), numerator, denominator))  # the first class has met all others
+    more, families = _family_links(left.df.filter(F.col("k") > SHORT), sets, numerator, denominator)
+    every = Stash(links.df.unionByName(_confirmed(met, sets, numerator, denominator)).unionByName(more))
+    for s in (met, left, links, sets, *families):
+        s.drop()
+    return every
+
+
+def _renamed(inside: str, prefix: str, *more: str) -> list:
+    return [F.col(inside + f).alias(prefix + f) for f in ("rep", "n", *more, *TAGS)]
+
+
+def _colliding(pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b), once each: the pairs (rep, n, t0, ..., prep, pn, pt0, ...) whose sizes allow a link and that collide in MATCHES coordinates or more, of all COORDINATES."""
+    sizes = (F.col("n") * denominator >= F.col("pn") * numerator) & (F.col("pn") * denominator >= F.col("n") * numerator)
+    differ = [F.bit_count((F.col(t).bitwiseXOR(F.col("p" + t)) + F.lit(_FILL)).bitwiseAND(F.lit(_HIGH))) for t in TAGS]
+    collisions = F.lit(COORDINATES) - reduce(operator.add, differ)
+    return pairs.filter(sizes & (collisions >= MATCHES)).select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b")).distinct()
+
+
+def _confirmed(pairs: Stash, sets: Stash, numerator: int, denominator: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+    full = sets.df.select("rep", "full")
+    both = pairs.df.join(full.select(F.col("rep").alias("a"), F.col("full").alias("full_a")), "a").join(full.select(F.col("rep").alias("b"), F.col("full").alias("full_b")), "b")
+    return _overlaps(both.select("a", "b", "full_a", "full_b")).filter(F.col("shared") * denominator >= F.col("whole") * numerator).select("a", "b")
 
 
 def _linked_blocks(numerator: int, denominator: int):
-    """Of two blocks (rep, comp, full) of one anchor, the links between classes of different components."""
+    """Of two blocks (rep, comp, full) of one family, the links between classes of different components."""
 
     def link(few: pa.Table, all_: pa.Table) -> pa.Table:
         sets = [[np.frombuffer(x, np.uint64) for x in t.column("full").to_pylist()] for t in (few, all_)]
@@ -307,73 +310,35 @@ def _linked_blocks(numerator: int, denominator: int):
     return link
 
 
-def _anchor_links(lists: Stash, sets: Stash, anchors: DataFrame, numerator: int, denominator: int) -> tuple[Stash, Stash]:
-    """(a, b): a link from each class to each other component with one, between classes that met the same class in the first round, for anchors of more than SHORT classes; and (rep, anchor) of those."""
-    reps = Stash(lists.df.select("rep", "comp").distinct().join(anchors, "rep"))
-    of_comp = reps.df.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("c"))
-    large = of_comp.groupBy("anchor").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k")).filter((F.col("k") > SHORT) & (F.col("m.c") < F.col("k")))
-    large = Stash(large.select("anchor", F.col("m.comp").alias("largest"), F.ceil((F.col("k") - F.col("m.c")) / BLOCK).alias("n_few"), F.ceil(F.col("k") / BLOCK).alias("n_all")))
-    here = Stash(reps.df.join(large.df, "anchor").join(sets.df.select("rep", "full"), "rep"))
+def _family_links(lists: DataFrame, sets: Stash, numerator: int, denominator: int) -> tuple[DataFrame, list[Stash]]:
+    """(a, b), and the tables that it reads: a link from each class of the long lists (anchor, rep, comp), at least, to each other component with one among the classes that it shares a list with.
+
+    The family of an anchor holds the classes of all long lists that begin with it, so that two classes of one list are in one family. A class's home is its family of the smallest anchor: classes of the same home are compared there, and
+    elsewhere only if their homes differ. So a family whose classes mostly have one other home compares the rest alone with all.
+    """
+    members = lists.select("anchor", "rep", "comp").distinct()
+    homes = members.groupBy(F.col("rep").alias("of")).agg(F.min("anchor").alias("home"))
+    members = Stash(members.join(homes, F.col("rep") == F.col("of")).drop("of"))
+    counted = members.df.groupBy("anchor", "comp", "home").agg(F.count(F.lit(1)).alias("c"))
+    most = lambda by: counted.groupBy("anchor", by).agg(F.sum("c").alias("c")).groupBy("anchor").agg(F.max(F.struct("c", by)).alias(f"by_{by}"), F.sum("c").alias("k"))
+    rest = lambda by: F.col("k") - F.col(f"by_{by}.c")
+    plan = most("comp").join(most("home").select("anchor", "by_home"), "anchor")
+    plan = plan.withColumns({"n_comp": rest("comp"), "n_home": F.when(F.col("by_home.home") == F.col("anchor"), F.col("k")).otherwise(rest("home"))})
+    least = F.least("n_comp", "n_home")
+    plan = plan.filter(least > 0).select(
+        "anchor",
+        F.when(F.col("n_comp") <= F.col("n_home"), F.col("by_comp.comp")).alias("largest"),
+        F.when(F.col("n_comp") > F.col("n_home"), F.col("by_home.home")).alias("done"),
+        F.ceil(least / BLOCK).alias("n_few"),
+        F.ceil(F.col("k") / BLOCK).alias("n_all"),
+    )
+    here = Stash(members.df.join(plan, "anchor").join(sets.df.select("rep", "full"), "rep"))
     slot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = here.df.filter("comp <> largest").select("anchor", slot("n_few").alias("i"), every("n_all").alias("j"), "rep", "comp", "full")
+    few = here.df.filter(~F.coalesce(F.col("comp") == F.col("largest"), F.col("home") == F.col("done"))).select("anchor", slot("n_few").alias("i"), every("n_all").alias("j"), "rep", "comp", "full")
     all_ = here.df.select("anchor", every("n_few").alias("i"), slot("n_all").alias("j"), "rep", "comp", "full")
     keys = ["anchor", "i", "j"]
-    found = Stash(few.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInArrow(_linked_blocks(numerator, denominator), "a bigint, b bigint"))
-    settled = Stash(here.df.select("rep", "anchor").distinct())
-    for s in (reps, large, here):
-        s.drop()
-    return found, settled
-
-
-def _labelled(lists: Stash, sets: Stash, graph: Stash | None, settled: Stash | None) -> Stash | None:
-    """(key, rep, n, comp, anchor, k, t0, t1, ...) of the lists that hold several components not all of one settled anchor, k classes each; None if there are none. The lists given go."""
-    now = lists.df.select("key", "rep", "n")
-    if graph is None:
-        now = now.withColumn("comp", F.col("rep"))
-    else:
-        now = now.join(graph.df.select("v", "comp"), F.col("rep") == F.col("v"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    now = now.withColumn("anchor", F.lit(None).cast("bigint")) if settled is None else now.join(settled.df, "rep", "left")
-    now = Stash(now)
-    lists.drop()
-    several = (F.col("lo") < F.col("hi")) & ~((F.col("anchors") == F.col("k")) & (F.col("first") == F.col("last")))
-    state = now.df.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("anchor").alias("anchors"), F.min("anchor").alias("first"), F.max("anchor").alias("last"), F.count(F.lit(1)).alias("k"))
-    state = Stash(state.filter(F.coalesce(several, F.col("lo") < F.col("hi"))).select("key", "k"))
-    out = Stash(now.df.join(state.df, "key").join(sets.df.select("rep", *TAGS), "rep")) if state.df.limit(1).count() else None
-    now.drop()
-    state.drop()
-    return out
-
-
-def _round(lists: DataFrame, pivots: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components to look at in this round, and what is left of the lists (key, rep, n) for later ones.
-
-    The first round (one pivot) takes every list's first class only; a class that has met its whole list leaves it. Later, short lists make all their pairs and go.
-    """
-    apart = F.col("comp") != F.col("pcomp")
-    ok = apart & (F.col("n") * denominator >= F.col("pn") * numerator) & (F.col("pn") * denominator >= F.col("n") * numerator)
-    differ = [F.bit_count((F.col(t).bitwiseXOR(F.col("p" + t)) + F.lit(_FILL)).bitwiseAND(F.lit(_HIGH))) for t in TAGS]
-    ok = ok & (reduce(operator.add, differ) <= DIFFER)
-    fields = ["rep", "n", "comp", *TAGS]
-    if pivots > 1:
-        fields.append("anchor")  # pairs of one anchor have been looked at
-        ok = ok & F.coalesce(F.col("anchor") != F.col("panchor"), F.lit(True))
-    long_ = lists if pivots == 1 else lists.filter(F.col("k") > SHORT)
-    eligible = long_
-    if pivots > 1:
-        sizes = long_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
-        eligible = long_.join(sizes, "key").filter("comp <> largest").drop("largest")
-    slot = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-    first = eligible.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(*fields)).alias("p"))
-    first = first.select("key", *[F.col(f"p.{f}").alias("p" + f) for f in fields])
-    pairs = long_.join(first, "key").filter(ok).select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b"))
-    if pivots > 1:
-        short = lists.filter(F.col("k") <= SHORT).groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("m"))
-        each = short.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        each = each.select(*[F.col(f"x.{f}").alias(f) for f in fields], *[F.col(f"y.{f}").alias("p" + f) for f in fields])
-        pairs = pairs.unionByName(each.filter(ok & (F.col("rep") < F.col("prep"))).select(F.col("rep").alias("a"), F.col("prep").alias("b")))
-    left = long_.join(first.select("key", F.col("prep").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n")
-    return pairs.distinct(), left
+    return few.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInArrow(_linked_blocks(numerator, denominator), "a bigint, b bigint"), [members, here]
 
 
 def near_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, numerator: int = 4, denominator: int = 5) -> DataFrame:
