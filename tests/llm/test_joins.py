@@ -182,33 +182,91 @@ def test_sketches_are_shuffled_when_they_are_many(spark, sf_dir, monkeypatch):
 # Language model
 
 
-def test_lm_against_brute_force(spark, sf_dir, monkeypatch):
+class PlainAutomaton:
+    """A trigram backoff automaton of dictionaries, from training token lists: states are tuples of words."""
+
+    def __init__(self, lists, weights):
+        self.counts = [collections.Counter() for _ in range(3)]
+        self.after = collections.Counter()  # occurrences of a context before a token
+        for w in lists:
+            way = ["start", *w]
+            for k, x in enumerate(w):
+                self.counts[0][x,] += 1
+                self.counts[1][way[k], x] += 1
+                if k:
+                    self.counts[2][way[k - 1], way[k], x] += 1
+                for context in {(way[k],), tuple(way[max(0, k - 1) : k + 1])}:
+                    self.after[context] += 1
+        words = self.counts[0].values()
+        self.n, self.v, once, twice = sum(words), len(words), sum(c == 1 for c in words), sum(c == 2 for c in words)
+        self.d = once / (once + 2 * twice) if once and twice else 0.5
+        self.weights = weights
+
+    def arc(self, state, x):
+        """The probability of the arc for a word at a state, None if it has none."""
+        if not state:
+            if not self.n:
+                return 1.0
+            return (self.counts[0][x,] - self.d) / self.n if self.counts[0][x,] else self.d * self.v / self.n
+        c, k = self.counts[len(state)][*state, x], self.weights[len(state) - 1]
+        lower = self.arc(state[1:], x)
+        return (c + k * lower) / (self.after[state] + k) if c else None
+
+    def score(self, w):
+        state, total = ("start",) if self.after["start",] else (), 0.0
+        for x in w:
+            while (p := self.arc(state, x)) is None:
+                total += math.log10(self.weights[len(state) - 1] / (self.after[state] + self.weights[len(state) - 1]))
+                state = state[1:]
+            total += math.log10(p)
+            state = (*state, x)[-2:]
+            while state and not self.after[state]:
+                state = state[1:]
+        return total
+
+
+@pytest.mark.parametrize("segment", [7, 512])
+def test_lm_against_brute_force(spark, sf_dir, monkeypatch, segment):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 40_000)  # several chunks and buckets
+    monkeypatch.setattr(lm, "SEGMENT", segment)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     tokens = {i: (t or "").translate(FOLD).encode().split() + [None] for i, t in docs.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    words, pairs = collections.Counter(), collections.Counter()
-    for i, w in tokens.items():
-        if not held[i]:
-            words.update(w)
-            pairs.update(zip(["start", *w[:-1]], w))
-    n, v = sum(words.values()), len(words)
-    once, twice = (sum(c == k for c in words.values()) for k in (1, 2))
-    d = once / (once + 2 * twice)
-    got = queries.QUERIES["op6_lm"](spark, sf_dir).collect()
-    assert len(got) == len(tokens)
-    for r in got:
-        w = tokens[r["doc_id"]]
-        base = sum(math.log10((words[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        score = 0.0
-        for a, b in zip(["start", *w[:-1]], w):
-            root = (words[b] - d) / n if words[b] else d * v / n
-            state = words[None] if a == "start" else words[a]
-            score += math.log10((pairs[a, b] + lm.K * root) / (state + lm.K))
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(words[x] > 0 for x in w), n, held[r["doc_id"]])
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
-    out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    model = PlainAutomaton([w for i, w in tokens.items() if not held[i]], lm.WEIGHTS)
+    words, n, v = model.counts[0], model.n, model.v
+    if segment == 512:
+        got = queries.QUERIES["op6_lm"](spark, sf_dir).collect()
+        assert len(got) == len(tokens)
+        for r in got:
+            w = tokens[r["doc_id"]]
+            base = sum(math.log10((words[x,] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(words[x,] > 0 for x in w), n, held[r["doc_id"]])
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], model.score(w), rel_tol=1e-9)
+        out = [r for r in got if r["held_out"]]
+        assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    else:  # the chunk's own automaton, texts cut into short segments
+        import numpy as np
+        import pyarrow as pa
+
+        chunk = lm.Chunk(pa.chunked_array([pa.array([t for _, t in docs.collect()])]))
+        learnt = np.repeat([not held[i] for i in tokens], chunk.sizes)
+        counts = [np.bincount(chunk.at[g][learnt & ~chunk.first if g == "triple" else learnt], minlength=len(chunk.keys[g])) for g in lm.GRAMS]
+        own = lm.Automaton(chunk, *counts, n, v, sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()))
+        assert np.allclose(own.traverse(chunk), [model.score(w) for w in tokens.values()], rtol=1e-9)
+
+
+def test_lm_where_no_word_occurs_twice(spark):
+    rows = [(1, "a b"), (2, "b a"), (3, "a a"), (4, "c"), (5, " a\tb ")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") == 1).collect()}
+    model = PlainAutomaton([[b"a", b"b", None]], lm.WEIGHTS)
+    assert all(math.isclose(got[i], model.score([*t.encode().split(), None]), rel_tol=1e-9) for i, t in rows)
+
+
+def test_lm_counts_travel_whole():
+    import numpy as np
+
+    for x in ([], [0], [1, 255, 256], [1 << 40, 3], list(range(70_000))):
+        assert lm.unpack(lm.pack(np.array(x, np.int64))).tolist() == x
 
 
 def test_lm_of_odd_rows(spark, odd):
