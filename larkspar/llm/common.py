@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -66,11 +67,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where it is unset, as in tests on one machine, one of our own."""
+    """The cluster's shared folder; where it is unset on one machine, as in tests, one of our own. On a cluster it must be set: executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, tempfile.mkdtemp(prefix="larkspar-"))
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="larkspar-")
+        found = _own[app]
     return found.rstrip("/")
 
 

@@ -60,7 +60,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     items = Stash(shingles.select("item", "size", "shingle", F.xxhash64(*[F.get(split, F.lit(k)) for k in range(size)]).alias("h")))
     sizes = sorted(r[0] for r in items.df.select("size").distinct().collect())
     if not sizes:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint, containment double")
+        none = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).limit(0).crossJoin(benchmark.select(F.col(f"`{item_id}`").alias("item_id")).limit(0))
+        return none.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("n_item", "bigint"), ("n_shared", "bigint"), ("containment", "double"))])
     # Partition by size: every item's need of shared shingles and, by it, the length of its sketch.
     need = F.ceil(F.col("n") * numerator / F.lit(float(denominator)))
     sketch = (
@@ -82,7 +83,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     pairs = shared.join(candidates.df.withColumnsRenamed({"id": "cid", "item": "citem"}), F.col("id").eqNullSafe(F.col("cid")) & F.col("item").eqNullSafe(F.col("citem")), "left_semi")
     lengths = items.df.groupBy(F.col("item").alias("litem")).agg(F.count(F.lit(1)).alias("n_item"))
     out = pairs.join(lengths, F.col("item").eqNullSafe(F.col("litem"))).filter(F.col("n_shared") * denominator >= F.col("n_item") * numerator)
-    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return dropped_with(out, items, sketch, candidates)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

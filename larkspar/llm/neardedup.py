@@ -214,7 +214,9 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int
     comp = classes.df.join(graph.df, F.col("rep") == F.col("v"), "left").select(F.col("cls").alias("c"), F.coalesce("comp", "rep").alias("comp"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp"))
     kept = F.coalesce(F.col("id") == component, component.isNull())
-    return signed.df.select("id", "n", "cls").join(comp, F.col("cls") == F.col("c"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    links.drop()
+    out = signed.df.select("id", "n", "cls").join(comp, F.col("cls") == F.col("c"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    return dropped_with(out, signed, classes, graph)
 
 
 def _class_links(classes: Stash, docs: DataFrame, size: int, numerator: int, denominator: int) -> Stash:

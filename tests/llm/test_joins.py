@@ -144,9 +144,30 @@ def test_lines_of_odd_rows(spark, odd):
 def test_runs_are_levelled(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(k, b"a"), (k, bytes([k]))], "id bigint, key binary"))
+        runs.add(spark.createDataFrame([(9 - k, b"a"), (9 - k, bytes([k]))], "id bigint, key binary"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert [(bytes(r["key"]), r["top"]) for r in runs.frequent(5).df.collect()] == [(b"a", 4)]
+    held = [r for r in runs.runs[0].df.collect() if bytes(r["key"]) == b"a"]
+    assert [(r["n_docs"], r["top"]) for r in held] == [(1, None)]  # an earlier run has the largest id
+    assert [(bytes(r["key"]), r["top"]) for r in runs.frequent(5).df.collect()] == [(b"a", 9)]
+
+
+def test_runs_are_joined_without_an_exchange(spark):
+    runs = linededup.LineRuns(spark)
+    for k in range(2):
+        runs.add(spark.createDataFrame([(9 - k, b"a"), (9 - k, bytes([k]))], "id bigint, key binary"))
+    own = linededup.Run(spark.createDataFrame([(b"a", 1, 1)], "key binary, n_docs bigint, top bigint"))
+    plan = runs.novel(own.df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan and "Exchange" not in plan
+    assert runs.novel(own.df).count() == 0
+
+
+def test_lines_whatever_the_columns(spark):
+    rows = [(k, "one shared line of text\nown", "x", 1, [2], "y", k) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __kept string, __drop int, lost array<int>, row string, n_lines bigint")
+    got = linededup.dedup_lines(df, min_chars=8, counts=None)
+    assert got.columns == df.columns
+    want = sorted((k, t if k == 5 else "own", *more) for k, t, *more in rows)
+    assert sorted(map(tuple, got.collect())) == [(*r[:4], r[4], *r[5:]) for r in want]
 
 
 def test_batches_admit_new_lines_only(spark):
