@@ -23,8 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines of at least 40 code points that at least 5 documents hold, but from the one of the largest id; n_chars follows the text."""
-    kept = linededup.dedup_lines(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast("bigint"))
+    return linededup.dedup_lines(docs, counts=None).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
