@@ -5,7 +5,8 @@ hierarchical bitmap over the ranks (words of about the square root of the ranks
 something, so the next rank is found by a find-first-set on each level instead of a scan or a heap of all pairs. A popped position is stale, and
 skipped, if its pair has changed since. The work is near n log n for a pre-token of n bytes, so a pre-token of a million letters does not take quadratic time.
 
-Rows: null and empty texts have no tokens. Repeated rows stay. Columns other than the id and the text are not read.
+Rows: null and empty texts have no tokens. A very long text, or pre-token, is encoded whole. Of equal ranks in a pre-token the leftmost is merged first. Repeated rows stay. An empty table gives an empty one; columns other than the text and those
+kept are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspar.llm.common import byte_text, map_rows
+from larkspar.llm.common import map_rows, texts, with_text
 
 #: Distinct pre-tokens that a task remembers, at most; then it forgets them all.
 MEMO = 600_000
@@ -187,14 +188,14 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(df: DataFrame, path: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
     """``keep`` columns and the token ids of ``text`` (array<int>; empty for null or empty texts), one row for each row."""
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.add(out, T.ArrayType(T.IntegerType()))
+    kept, schema = with_text(df, keep, text)
+    schema = schema.add(out, T.ArrayType(T.IntegerType()))
 
     def make():
         coder = encoder(path, pattern)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [coder.packed(x) for x in byte_text(batch, "__text")]
+            packed = [coder.packed(x) for x in texts(batch)]
             offsets = [0]
             for p in packed:
                 offsets.append(offsets[-1] + len(p) // 4)
@@ -228,8 +229,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, *, text: str = "text", ke
 
     Encodes and decodes in one pass, so that the ids never leave the Python task.
     """
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    kept, schema = with_text(df, keep, text)
+    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def make():
         coder = encoder(path, pattern)
@@ -237,7 +238,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, *, text: str = "text", ke
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, back = [], [], []
-            for x in byte_text(batch, "__text"):
+            for x in texts(batch):
                 packed = coder.packed(x)
                 n.append(len(packed) // 4)
                 ids.append(sha(packed).hexdigest())

@@ -9,7 +9,8 @@ a code, and the mark itself by another, so that the output splits at its markers
 All of it is DataFrame code. A conversation is one output value, so the turns of one conversation meet in one task, and of nothing else.
 
 Rows: turns of one conversation with equal numbers are in order of role, then text, null numbers first; repeated rows stay. Null roles and texts count as empty. Rows of a null conversation are one conversation.
-Extra columns are not read.
+A very long turn, or conversation, is one value, in one task. Rows that are turns keep their roles as they are, so that they can be read back; other layouts' names of roles are put in ROLES' words. An empty table gives an empty one. Extra columns are not
+read, whatever their names; of a table with fields of several layouts, see ``mapping_of``.
 """
 
 from __future__ import annotations
@@ -74,9 +75,12 @@ _BY_FINGERPRINT = {schema_fingerprint(m.paths): m for m in MAPPINGS}
 
 
 def mapping_of(schema: T.StructType) -> Mapping:
-    """The mapping that a table's schema selects."""
+    """The mapping that a table's schema selects: that of its fingerprint; where fields of several layouts are there, the first in MAPPINGS of those whose fields all are, by the fingerprint of those fields, the most fields first."""
     paths = field_paths(schema)
     found = _BY_FINGERPRINT.get(schema_fingerprint(paths))
+    if found is None:
+        whole = [schema_fingerprint(set(paths) & set(m.paths)) for m in sorted(MAPPINGS, key=lambda m: -len(m.paths))]
+        found = next((_BY_FINGERPRINT[f] for f in whole if f in _BY_FINGERPRINT), None)
     if found is None:
         raise ValueError(f"no mapping for a table with the fields {', '.join(sorted(paths))}")
     return found

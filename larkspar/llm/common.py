@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only separators of words and the only characters stripped from lines.
 SPACE = r"\x20\x09-\x0D"
@@ -50,6 +51,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with state that each Python task makes once, by ``make()``."""
     small_batches(df.sparkSession)
@@ -63,6 +72,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def with_text(df: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, T.StructType]:
+    """The ``keep`` columns and, last, the text, under a name that none of them has; and the schema without it. ``keep`` must not hold a name that the operator gives its results."""
+    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(fresh(df, "text_")))
+    return kept, T.StructType(kept.schema.fields[:-1])
+
+
+def texts(batch: pa.RecordBatch) -> list[str]:
+    """The last column as Python strings, null as empty."""
+    return [x or "" for x in batch.columns[-1].to_pylist()]
+
+
 _own: dict[str, str] = {}
 
 

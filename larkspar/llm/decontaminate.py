@@ -8,7 +8,8 @@ candidates are then verified on the shingles themselves.
 All of it is DataFrame code: one pass over the words of every document against the sketches, and a second over the candidate documents only. The sketches are broadcast if they are few enough, by a count; else they meet the documents' hashes in a shuffled join.
 
 Rows: in find_leaks, rows of one id (a null one too) are one document, with the shingles of all of them; remove_leaks decides on each row. A text of fewer words than a shingle has its whole sequence as the only one; a text without words has none, and an
-item without any is never found. Repeated items are found each.
+item without any is never found. Repeated items are found each. A very long text's words are one array, in one task, and all its shingles are looked up. An empty table, of documents or of items, gives an empty one of the same columns. Other columns are not read
+by find_leaks and go through remove_leaks whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import Stash, dropped_with, numbered, words
+from larkspar.llm.common import Stash, dropped_with, fresh, numbered, words
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Rows of sketches or of item shingles, of some tens of bytes each, that may be broadcast.
@@ -89,6 +90,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """All columns of ``docs``, without the rows that hold an item, each by its own text: rows that share an id, or have none, do not answer for each other."""
-    rows = numbered(docs, "__row")
-    leaks = find_leaks(rows.df, benchmark, doc_id="__row", text=text, **how).select(F.col("doc_id").alias("__row")).distinct()
-    return dropped_with(rows.df.join(leaks, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), rows)
+    own = fresh(docs, "row")
+    rows = numbered(docs, own)
+    leaks = find_leaks(rows.df, benchmark, doc_id=own, text=text, **how).select(F.col("doc_id").alias(own)).distinct()
+    return dropped_with(rows.df.join(leaks, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), rows)

@@ -5,7 +5,8 @@ and a boundary moves with its content. Chunking is normalised: up to the normal
 stay between a least and a most. A fingerprint is the set of chunk digests, each weighted by its chunk's bytes; the likeness of two is the
 weight they share over the weight of the lighter one.
 
-Rows: null text counts as empty; an empty text has an empty fingerprint, which is wholly like another empty one and unlike all others.
+Rows: null text counts as empty; an empty text has an empty fingerprint, which is wholly like another empty one and unlike all others. A very long text is chunked whole, in one task. Rows of one id are in order of text, and equal rows are each
+other's next; rows of a null id come after all others, in order of text. Ids may be any 64-bit integers. A table of one row is its own next one; an empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from larkspar.llm.common import byte_text, input_bytes, map_rows, small_batches
+from larkspar.llm.common import input_bytes, map_rows, small_batches, texts, with_text
 
 #: Bytes of a chunk.
 LEAST, NORMAL, MOST = 16, 48, 192
@@ -28,9 +29,11 @@ STRICT, LOOSE = np.uint32(0x3F << 13), np.uint32(0x0F << 13)
 #: A random number for each byte value, by a fixed seed.
 GEAR = np.random.default_rng(20_240).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Bytes of a chunk's digest.
-DIGEST = 6
+DIGEST = 8
 #: Bytes of input for one task that edits and fingerprints.
 TASK_BYTES = 8 << 20
+#: Ranges of ids at most, since the driver and each task hold two numbers for each; beyond, ranges grow, and each is sorted on disk and streamed through its task.
+MOST_RANGES = 20_000
 
 
 def gear(raw: bytes) -> np.ndarray:
@@ -88,12 +91,12 @@ def likeness(a: dict[str, int], b: dict[str, int]) -> float:
 
 def fingerprint(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the fingerprint string of ``text``: ``digest:bytes`` by digest, comma-joined."""
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.add("fingerprint", "string")
+    kept, schema = with_text(df, keep, text)
+    schema = schema.add("fingerprint", "string")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [joined(chunks(x.encode())) for x in byte_text(batch, "__text")]
+            out = [joined(chunks(x.encode())) for x in texts(batch)]
             return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*keep, "fingerprint"])
 
         return work
@@ -110,28 +113,29 @@ def with_neighbours(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, "text") // TASK_BYTES + 1)
-    bounds = np.unique(np.array(docs.stat.approxQuantile("id", [i / n for i in range(1, n)], max(0.1 / n, 1e-6)) if n > 1 else [], dtype=np.float64))
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, "text") // TASK_BYTES + 1), MOST_RANGES)
+    bounds = np.unique(np.array(docs.stat.approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [], dtype=np.float64))
+    # Ids reach Python without nulls, which would make them floating-point numbers there.
+    known, missing = F.coalesce("id", F.lit(0)), F.col("id").isNull()
 
     @pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).astype("float64"), side="right")).astype("int32"))
+    def bucket_of(ids: pd.Series, missing: pd.Series) -> pd.Series:
+        return pd.Series(np.where(missing, 0, np.searchsorted(bounds, ids.astype("float64"), side="right")).astype("int32"))
 
-    tops = sorted((b, i) for b, i in docs.select("id").groupBy(bucket_of("id").alias("b")).agg(F.max("id")).collect())
+    tops = sorted((b, i) for b, i in docs.select("id").groupBy(bucket_of(known, missing).alias("b")).agg(F.max("id")).collect())
     targets: dict[int | None, list[int]] = {}
     for k, (_, top) in enumerate(tops):
         above = tops[(k + 1) % len(tops)][0]  # the highest bucket's first row also goes to the lowest
         targets.setdefault(top, []).append(above)
 
     @pandas_udf("array<int>")
-    def goes_to(ids: pd.Series) -> pd.Series:
-        missing = ids.isna()
-        own = np.where(missing, 0, np.searchsorted(bounds, ids.fillna(0).astype("float64"), side="right"))
+    def goes_to(ids: pd.Series, missing: pd.Series) -> pd.Series:
+        own = np.where(missing, 0, np.searchsorted(bounds, ids.astype("float64"), side="right"))
         return pd.Series([[int(b), *targets.get(None if m else int(i), ())] for b, i, m in zip(own, ids, missing, strict=True)])
 
     small_batches(spark)
     return (
-        docs.select("*", F.posexplode(goes_to("id")).alias("copy", "bucket"))
+        docs.select("*", F.posexplode(goes_to(known, missing)).alias("copy", "bucket"))
         .repartition(n, "bucket")
         .sortWithinPartitions(F.col("bucket"), F.col("copy") > 0, F.col("id").desc_nulls_last(), F.col("text"))
         .select("bucket", "copy", "id", "text")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import Stash, byte_text, dropped_with, fold, map_rows, numbered
+from larkspar.llm.common import Stash, byte_text, dropped_with, fold, fresh, map_rows, numbered
 
 COORDINATES, ROWS, MATCHES = 40, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
@@ -348,13 +348,14 @@ def near_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", siz
 
     Rows are linked by their texts alone, each as a node of its own, so that a null or repeated id neither saves a copy nor joins unlike texts.
     """
-    rows = numbered(df, "__row")
-    linked = Stash(link(rows.df, doc_id="__row", text=text, size=size, numerator=numerator, denominator=denominator).select(F.col("doc_id").alias("r"), F.col("component_id").alias("component")))
+    own = fresh(df, "row")
+    rows = numbered(df, own)
+    linked = Stash(link(rows.df, doc_id=own, text=text, size=size, numerator=numerator, denominator=denominator).select(F.col("doc_id").alias("r"), F.col("component_id").alias("component")))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "r")
-    ids = rows.df.select(F.col("__row").alias("r"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
+    ids = rows.df.select(F.col(own).alias("r"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
     # Most components are single rows, of which none goes.
     shared = linked.df.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component")
     members = Stash(linked.df.join(shared, "component").join(ids, "r"))
     least = members.df.groupBy("component").agg(F.min(order)["r"].alias("stays"))
-    gone = members.df.join(least, "component").filter("r <> stays").select(F.col("r").alias("__row"))
-    return dropped_with(rows.df.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns]), rows, linked, members)
+    gone = members.df.join(least, "component").filter("r <> stays").select(F.col("r").alias(own))
+    return dropped_with(rows.df.join(gone, own, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns]), rows, linked, members)

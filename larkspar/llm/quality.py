@@ -6,7 +6,8 @@ space. The labelled documents' vectors there are broadcast; for every document,
 
 The classifier is fitted on at most MAX_LABELLED labelled rows, those of the least hash of their id; so the model's size does not depend on the corpus. Every document is scored by its whole text and by nothing else.
 
-Rows: null text counts as empty; a text of no trigrams is unlike all and gets the labelled share of label 1. Labels of a null id or a null label are not learnt from; an id labelled twice votes twice. Without any labelled row every score is 0.5.
+Rows: null text counts as empty; a text of no trigrams is unlike all and gets the labelled share of label 1. A very long text is counted whole. Labels of a null id or a null label are not learnt from; an id with two labels votes once with each, and
+of documents that share an id the least text is learnt from. Neighbours as near as the last of the nearest vote too. Without any labelled row every score is 0.5. An empty table gives an empty one; columns other than those named are not read but kept.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import byte_text, map_rows
+from larkspar.llm.common import byte_text, map_rows, texts, with_text
 
 #: Labelled rows that are learnt from, at most.
 MAX_LABELLED = 4_000
@@ -87,9 +88,11 @@ class Model:
             return np.full(len(texts), 0.5)
         near = self.embed(texts) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(near, at, axis=1), 0, 1).astype(np.float64) ** POWER
-        return np.clip(((weight * self.labels[at]).sum(axis=1) + PRIOR * self.share) / (weight.sum(axis=1) + PRIOR), 0, 1)
+        last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        row, at = np.nonzero(near >= last[:, None])
+        weight = np.clip(near[row, at], 0, 1).astype(np.float64) ** POWER
+        votes, every = np.bincount(row, weight * self.labels[at], len(texts)), np.bincount(row, weight, len(texts))
+        return np.clip((votes + PRIOR * self.share) / (every + PRIOR), 0, 1)
 
 
 def decompose(x: np.ndarray, dimensions: int, rounds: int = 4) -> np.ndarray:
@@ -119,19 +122,22 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     if learnt is not None:
         labels = labels.filter(learnt)
     chosen = (
-        labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label"))
-        .filter(F.col("__id").isNotNull() & F.col("__label").isin(0, 1))
-        .orderBy(F.xxhash64("__id"), "__id", "__label")
+        labels.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
+        .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+        .distinct()
+        .orderBy(F.xxhash64("id"), "id", "label")
         .limit(most)
         .collect()
     )
-    known = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "__id bigint, __label int"))
-    marked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(known, "__id").select("__id", "__label", "__text")
+    known = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "id bigint, label int"))
+    marked = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).join(known, "id")
+    # One text for each label chosen, whatever rows share its id: so what is collected is bounded by the labels.
+    marked = marked.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, value = [], []
-            for row in counts(byte_text(batch, "__text")):
+            for row in counts(byte_text(batch, "text")):
                 held = np.flatnonzero(row)
                 at.append(held.astype("<u2").tobytes())
                 value.append(row[held].astype("<f2").tobytes())
@@ -139,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
         return work
 
-    found = sorted(map(tuple, map_rows(marked, make, "id bigint, label int, at binary, value binary").collect()))[:most]
+    found = sorted(map(tuple, map_rows(marked, make, "id bigint, label int, at binary, value binary").collect()))
     rows = np.zeros((len(found), TERMS), np.float32)
     for k, (_, _, at, value) in enumerate(found):
         rows[k, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f2")
@@ -148,15 +154,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def classify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5), under the names of ``out``."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema.add(out[0], "double").add(out[1], "integer")
+    kept, schema = with_text(docs, keep, text)
+    schema = schema.add(out[0], "double").add(out[1], "integer")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = shared.value
+        fitted = shared.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = own.score(byte_text(batch, "__text"))
+            score = fitted.score(texts(batch))
             return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, *out])
 
         return work

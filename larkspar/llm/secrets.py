@@ -5,7 +5,8 @@ random strings and one of ordinary identifiers, both of order 1 with start and e
 span of kind ``random``. If the whole run is not, its maximal segments are tried, so that a key glued to a path or a name is found; of a run that meets a rule's span, the
 parts outside it are scored. Both models are trained from labelled samples.
 
-Rows: null text counts as empty and has no spans. Positions are code points, ends exclusive.
+Rows: null text counts as empty; empty texts have no spans. A very long text, or run, is scanned whole, in time in proportion to it. Repeated rows are scanned each. Positions are code points, ends exclusive; spans that begin together are in
+the order of KINDS. An empty table gives an empty one; columns other than the text and those kept are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspar.llm.common import byte_text, map_rows
+from larkspar.llm.common import map_rows, texts, with_text
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -174,8 +175,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), labelled: list[tuple[str, int]] | None = None) -> DataFrame:
     """``keep`` columns, n_assign, n_access, n_hex, n_random, base_spans and spans (``kind:start:end`` by start, then kind, comma-joined), one row for each row."""
-    kept = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = kept.drop("__text").schema
+    kept, schema = with_text(df, keep, text)
     names = [*keep]
     for n in ("n_assign", "n_access", "n_hex", "n_random"):
         schema = schema.add(n, "long")
@@ -188,7 +188,7 @@ def scan(df: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, base, every = [[], [], [], []], [], []
-            for x in byte_text(batch, "__text"):
+            for x in texts(batch):
                 found = base_spans(x)
                 more = model_spans(x, model, found)
                 kinds = [k for _, k, _ in found]
