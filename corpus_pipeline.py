@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspar.llm import bpe, decontaminate, linededup, neardedup, quality
-from larkspar.llm.common import Stash, dropped_with, read
+from larkspar.llm.common import Stash, dropped_with, fresh, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects; it learns from the labels whose crc32 of the id modulo 3 is not 1."""
     learnt = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     model = quality.learn(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"), learnt=learnt)
-    scored = quality.classify(docs, model, keep=tuple(docs.columns), out=("__score", "__predicted"))
-    return scored.filter("__predicted = 1").select(*docs.columns)
+    score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
+    scored = quality.classify(docs, model, keep=tuple(docs.columns), out=(score, predicted))
+    return scored.filter(F.col(predicted) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
