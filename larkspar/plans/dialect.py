@@ -1,7 +1,9 @@
 """PostgreSQL-flavoured SQL text as Spark SQL: a rewriting of tokens, for the spellings that Spark lacks.
 
 Covered: ``::`` casts; ``~ ~* !~ !~*``; SIMILAR TO; ARRAY[...] and 1-based subscripts; op ANY / ALL / SOME of an array or a subquery; ``-> ->> #> #>>``; DISTINCT ON; FETCH FIRST n ROWS ONLY / WITH TIES; the default place of
-nulls in ORDER BY; FILTER before OVER; string_agg and array_agg with ORDER BY; set-returning functions in FROM, with ordinality; EXTRACT(EPOCH), DATE_PART, TO_CHAR, STRPOS, LOG; E'' strings and double-quoted names.
+nulls in ORDER BY; FILTER before OVER; string_agg and array_agg with ORDER BY; set-returning functions in FROM, with ordinality; EXTRACT(EPOCH), DATE_PART, TO_CHAR, STRPOS, LOG; REGEXP_REPLACE of the first match, or all by flag; TRUNC of numbers, QUOTE_IDENT, QUOTE_LITERAL, QUOTE_NULLABLE, STRING_TO_ARRAY, NUM_NULLS, NUM_NONNULLS, ISFINITE;
+OVERLAPS; ``<->``; OVER () of ranking functions and windows that refine a named one; E'' strings and double-quoted names. Not covered: GROUPS frames and EXCLUDE, edits and containment of JSON, intervals by AGE and MAKE_INTERVAL, AT TIME ZONE, and
+statements other than queries; all of them but the last are functions of ``larkspar.functions`` and ``larkspar.operators``.
 DISTINCT ON and WITH TIES are taken at the end of a whole query or of a parenthesised one. GROUPS frames and EXCLUDE are in ``larkspar.operators.relational``.
 """
 
@@ -16,7 +18,7 @@ from larkspar.sources.tables import register
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[eE]?'(?:[^'\\]|''|\\.)*')|(?P<quoted>"(?:[^"]|"")*")|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"""
-    r"""|(?P<word>[A-Za-z_][A-Za-z_0-9]*(?:\.[A-Za-z_][A-Za-z_0-9]*|\."[^"]*")*)|(?P<param>[$:]\w+)|(?P<op>::|!~\*|!~|~\*|~|\#>>|\#>|->>|->|\|\||<=|>=|<>|!=|.)""",
+    r"""|(?P<word>[A-Za-z_][A-Za-z_0-9]*(?:\.[A-Za-z_][A-Za-z_0-9]*|\."[^"]*")*)|(?P<param>[$:]\w+)|(?P<op>::|!~\*|!~|~\*|~|\#>>|\#>|<->|->>|->|\|\||<=|>=|<>|!=|.)""",
     re.S | re.X,
 )
 _COMPARE = {"=", "<>", "!=", "<", "<=", ">", ">="}
@@ -199,12 +201,38 @@ def _alias(tokens: list[Tok], at: int) -> tuple[tuple[str, int], list[str]]:
 def _call(name: str, group: Tok) -> Tok | None:
     """A call that Spark spells otherwise."""
     args = _split(group.inner)
-    if name in ("string_agg", "array_agg") and group.inner:
+    if name == "string_agg" and group.inner:
         order = next((k for k, t in enumerate(group.inner) if t.kind == "raw" and t.text.startswith("ORDER BY")), None)
-        if name == "string_agg":
-            within = f" WITHIN GROUP ({group.inner[order]})" if order is not None else ""
-            return _raw(f"listagg({_text(group.inner[:order])}){within}")
-        return _raw(f"collect_list({_text(group.inner)})") if order is None else None
+        within = f" WITHIN GROUP ({group.inner[order]})" if order is not None else ""
+        return _raw(f"listagg({_text(group.inner[:order])}){within}")
+    if name == "regexp_replace" and len(args) in (3, 4):
+        x, pattern, by = (_text(a) for a in args[:3])
+        if args[2][0].kind == "string":  # a group's number after a backslash, and dollars that stand for themselves
+            by = re.sub(r"\\\\(\d)", r"$\1", by.replace("$", "\\\\$"))
+        flags = _text(args[3]).strip("'") if len(args) == 4 else ""
+        if "i" in flags:
+            pattern = f"concat('(?i)', {pattern})"
+        if "g" in flags:
+            return _raw(f"regexp_replace({x}, {pattern}, {by})")
+        at, first = f"regexp_instr({x}, {pattern})", f"regexp_substr({x}, {pattern})"
+        return _raw(f"(CASE WHEN {at} > 0 THEN concat(substr({x}, 1, {at} - 1), regexp_replace({first}, {pattern}, {by}), substr({x}, {at} + length({first}))) ELSE {x} END)")
+    if name == "trunc" and len(args) in (1, 2):
+        x, p = _text(args[0]), f"power(10, {_text(args[1])})" if len(args) == 2 else ""
+        return _raw(f"((CASE WHEN ({x}) < 0 THEN ceil(({x}) * {p}) ELSE floor(({x}) * {p}) END) / {p})" if p else f"(CASE WHEN ({x}) < 0 THEN ceil({x}) ELSE floor({x}) END)")
+    if name in ("num_nulls", "num_nonnulls") and group.inner:
+        null = "0" if name == "num_nonnulls" else "1"
+        return _raw("(" + " + ".join(f"(CASE WHEN ({_text(a)}) IS NULL THEN {null} ELSE 1 - {null} END)" for a in args) + ")")
+    if name == "isfinite" and len(args) == 1:
+        return _raw(f"(CASE WHEN ({_text(args[0])}) IS NOT NULL THEN TRUE END)")  # dates and timestamps have no infinity here
+    if name == "quote_ident" and len(args) == 1:
+        x = _text(args[0])
+        return _raw(f"(CASE WHEN {x} RLIKE '^[a-z_][a-z0-9_]*$' THEN {x} ELSE concat('\"', replace({x}, '\"', '\"\"'), '\"') END)")
+    if name in ("quote_literal", "quote_nullable") and len(args) == 1:
+        quoted = f"concat('\\'', replace({_text(args[0])}, '\\'', '\\'\\''), '\\'')"
+        return _raw(quoted if name == "quote_literal" else f"coalesce({quoted}, 'NULL')")
+    if name == "string_to_array" and len(args) in (2, 3):
+        parts = f"split({_text(args[0])}, concat('\\\\Q', {_text(args[1])}, '\\\\E'), -1)"
+        return _raw(f"transform({parts}, __x -> nullif(__x, {_text(args[2])}))" if len(args) == 3 else parts)
     if name == "extract" and group.inner and group.inner[0].low == "epoch":
         return _raw(f"(unix_micros(CAST({_text(group.inner[2:])} AS TIMESTAMP)) / 1e6D)")
     if name == "date_part" and len(args) == 2:
@@ -220,13 +248,74 @@ def _call(name: str, group: Tok) -> Tok | None:
     return None
 
 
+def _gathered(tokens: list[Tok], at: int) -> tuple[Tok, int]:
+    """array_agg at a place, with its FILTER and OVER, and where it ends: nulls are kept, DISTINCT is in order, an ORDER BY is of one direction."""
+    inner, end = tokens[at + 1].inner or [], at + 2
+    where = over = ""
+    if _is(tokens, end, "filter"):
+        where, end = _text(tokens[end + 1].inner[1:]), end + 2
+    if _is(tokens, end, "over"):
+        over, end = f" OVER {tokens[end + 1]}", end + 2
+    order = next((k for k, t in enumerate(inner) if t.kind == "raw" and t.text.startswith("ORDER BY")), None)
+    distinct = bool(inner) and inner[0].low == "distinct"
+    value = _text(inner[int(distinct) : order])
+    fields, down = [], False
+    if order is not None:
+        for item in inner[order].text[len("ORDER BY ") :].split(", "):
+            m = re.fullmatch(r"(.*?)(?: (asc|desc))? NULLS (FIRST|LAST)", item, re.I | re.S)
+            if m is None or len(fields) and down != ((m[2] or "asc").lower() == "desc"):
+                raise ValueError("array_agg takes an ORDER BY of one direction")
+            down = (m[2] or "asc").lower() == "desc"
+            fields += [f"({m[1]}) IS {'NOT ' if down == (m[3].upper() == 'LAST') else ''}NULL", m[1]]
+    named = ", ".join(f"'o{k}', {f}" for k, f in enumerate(fields)) + (", " if fields else "") + f"'v', {value}"
+    keep = f"'k', coalesce({where}, FALSE), " if where and over else ""
+    tail = (f" FILTER (WHERE {where})" if where and not over else "") + over
+    got = f"collect_{'set' if distinct else 'list'}(named_struct({keep}{named})){tail}"
+    if keep:
+        got = f"filter({got}, __s -> __s.k)"
+    if fields:
+        got = f"sort_array({got}, {'false' if down else 'true'})"
+    got = f"transform({got}, __s -> __s.v)"
+    return _raw(f"nullif({f'array_sort({got})' if distinct else got}, array())"), end
+
+
+#: Functions that need an order of their window; without one all rows are peers.
+_RANKING = {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead"}
+
+
+def _windows(tokens: list[Tok]) -> list[Tok]:
+    """OVER () of ranking functions, and OVER (w ...) with the named window written out."""
+    named, at = {}, _find(tokens, "window")
+    while at >= 0 and _is(tokens, at + 2, "as") and at + 3 < len(tokens):
+        named[tokens[at + 1].low] = tokens[at + 3].inner
+        at = at + 4 if at + 4 < len(tokens) and tokens[at + 4].text == "," else -1
+    for k, t in enumerate(tokens[:-1]):
+        after = tokens[k + 1]
+        if t.low == "over" and after.kind == "group":
+            if after.inner and after.inner[0].low in named:
+                after.inner = [*named[after.inner[0].low], *after.inner[1:]]
+            if not after.inner and k >= 2 and tokens[k - 2].low in _RANKING:
+                after.inner = [_raw("ORDER BY NULL")]
+    return tokens
+
+
 def _expressions(tokens: list[Tok]) -> list[Tok]:
     out: list[Tok] = []
     at = 0
     while at < len(tokens):
         t, low = tokens[at], tokens[at].low
         after = tokens[at + 1] if at + 1 < len(tokens) else None
-        if low == "array" and after is not None and after.text == "[]":
+        if low == "array_agg" and after is not None and after.kind == "group" and after.inner:
+            call, at = _gathered(tokens, at)
+            out.append(call)
+        elif low == "<->":
+            right, at = _after(tokens, at + 1)
+            out.append(_raw(f"sqrt(aggregate(zip_with({_text(_before(out))}, {_text(_expressions(right))}, (__x, __y) -> power(CAST(__x AS DOUBLE) - CAST(__y AS DOUBLE), 2)), 0.0D, (__s, __x) -> __s + __x))"))
+        elif low == "overlaps" and after is not None and after.kind == "group" and out and out[-1].inner is not None:
+            (a, b), (c, d) = ([_text(x) for x in _split(g.inner)] for g in (out.pop(), after))
+            out.append(_raw(f"(least({a}, {b}) < greatest({c}, {d}) AND least({c}, {d}) < greatest({a}, {b}))"))
+            at += 2
+        elif low == "array" and after is not None and after.text == "[]":
             out.append(_raw(f"array({_text(after.inner)})"))
             at += 2
         elif t.kind == "group" and t.text == "[]":
@@ -310,6 +399,7 @@ def _whole(tokens: list[Tok]) -> list[Tok]:
 
 
 def _rewrite(tokens: list[Tok]) -> list[Tok]:
+    tokens = _windows(tokens)
     for t in tokens:
         if t.inner is not None:
             t.inner = _rewrite(t.inner)

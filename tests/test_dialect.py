@@ -38,6 +38,19 @@ CASES = [
     ("SELECT to_char(TIMESTAMP '2024-05-06 07:08:09', 'YYYY/MM/DD HH24:MI') AS c, strpos('hello', 'l') AS p, log(100) AS l", [("2024/05/06 07:08", 3, 2.0)]),
     ("SELECT \"name\" FROM emp WHERE name = 'it''s' OR id = 3", [("cy",)]),
     ("WITH t AS (SELECT dept, pay::bigint AS p FROM emp) SELECT dept, max(p) AS m FROM t GROUP BY dept HAVING max(p) >= 20 ORDER BY dept", [("eng", 20), ("ops", 20)]),
+    ("SELECT array_agg(pay) AS a FROM emp WHERE id = 4", [([None],)]),
+    ("SELECT dept, array_agg(pay ORDER BY pay) AS a FROM emp GROUP BY dept ORDER BY dept", [("eng", [10, 20]), ("ops", [20, None])]),
+    ("SELECT array_agg(name ORDER BY pay DESC, id DESC) AS a FROM emp", [(["dee", "cy", "bob", "ann"],)]),
+    ("SELECT array_agg(pay) FILTER (WHERE id > 3) AS a, array_agg(DISTINCT dept) AS d, array_agg(id) FILTER (WHERE id > 9) AS n FROM emp", [([None], ["eng", "ops"], None)]),
+    ("SELECT id, array_agg(pay) FILTER (WHERE id > 2) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS a FROM emp ORDER BY id", [(1, None), (2, None), (3, [20]), (4, [20, None])]),
+    ("SELECT regexp_replace('foobarbaz', 'b..', 'X') AS a, regexp_replace('foobarbaz', 'b..', 'X', 'g') AS b, regexp_replace('foobar', 'B(.)', '<\\1$>', 'i') AS c, regexp_replace('abc', 'z', 'y') AS d", [("fooXbaz", "fooXX", "foo<a$>r", "abc")]),
+    ("SELECT trunc(2.78) AS a, trunc(-2.78) AS b, trunc(3.14159, 2) AS c, num_nulls(1, NULL, 2) AS d, num_nonnulls(1, NULL, 2) AS e", [(2, -2, 3.14, 1, 2)]),
+    ("SELECT quote_ident('ok') AS a, quote_ident('No t') AS b, quote_literal('it''s') AS c, quote_nullable(NULL) AS d", [("ok", '"No t"', "'it''s'", "NULL")]),
+    ("SELECT string_to_array('a.b..c', '.') AS a, string_to_array('x,y', ',', 'y') AS b", [(["a", "b", "", "c"], ["x", None])]),
+    ("SELECT ARRAY[0, 0] <-> ARRAY[3, 4] AS d, isfinite(DATE '2024-01-01') AS f", [(5.0, True)]),
+    ("SELECT (DATE '2024-01-01', DATE '2024-02-01') OVERLAPS (DATE '2024-01-31', DATE '2024-03-01') AS a, (DATE '2024-01-01', DATE '2024-02-01') OVERLAPS (DATE '2024-02-01', DATE '2024-03-01') AS b", [(True, False)]),
+    ("SELECT max(n) AS n, max(r) AS r FROM (SELECT row_number() OVER () AS n, rank() OVER () AS r FROM emp) t", [(4, 1)]),
+    ("SELECT id, sum(id) OVER (w ORDER BY id ROWS UNBOUNDED PRECEDING) AS s FROM emp WINDOW w AS (PARTITION BY dept) ORDER BY id", [(1, 1), (2, 3), (3, 3), (4, 7)]),
     ("SELECT a.id FROM emp a WHERE EXISTS (SELECT 1 FROM emp b WHERE b.dept = a.dept AND b.id > a.id) ORDER BY a.id", [(1,), (3,)]),
 ]
 
