@@ -258,8 +258,7 @@ def lateral_json_keys(spark, sf_dir):
     return spark.sql("""SELECT id, k FROM VALUES (1, '{"b":1,"a":2}'), (2, '{"c":null}'), (3, '{}'), (4, NULL) AS d(id, doc), LATERAL explode(json_object_keys(doc)) AS e(k)""")
 
 
-sql("lateral_unnest", "SELECT vec_id, p + 1 AS ord, round(v, 4) AS v FROM (SELECT vec_id, slice(embedding, 1, 4) AS e FROM embeddings WHERE vec_id < 30), LATERAL posexplode(e) AS t(p, v)", "SELECT vec_id, CAST(ord AS INTEGER) AS ord, round(v, 4) AS v FROM (SELECT vec_id, unnest(embedding[1:4]) AS v, generate_subscripts(embedding[1:4], 1) AS ord FROM embeddings WHERE vec_id < 30)")
-sql("lateral_unnest_whole", "SELECT vec_id, p + 1 AS ord, CAST(v AS DOUBLE) AS v FROM embeddings, LATERAL posexplode(embedding) AS t(p, v)", "SELECT vec_id, CAST(ord AS INTEGER) AS ord, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS ord FROM embeddings)")
+sql("lateral_unnest", "SELECT vec_id, p + 1 AS ord, CAST(v AS DOUBLE) AS v FROM embeddings, LATERAL posexplode(embedding) AS t(p, v)", "SELECT vec_id, CAST(ord AS INTEGER) AS ord, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS ord FROM embeddings)")
 sql("lateral_regexp_split", "SELECT o_orderkey, p + 1 AS ord, w FROM orders, LATERAL posexplode(split(o_orderpriority, '-')) AS t(p, w) WHERE o_orderkey < 100", "SELECT o_orderkey, CAST(ord AS INTEGER) AS ord, w FROM (SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS w, generate_subscripts(string_split(o_orderpriority, '-'), 1) AS ord FROM orders WHERE o_orderkey < 100)", bound="o_orderkey < 100")
 sql("lateral_regexp_matches", "SELECT p_partkey, m FROM part, LATERAL explode(regexp_extract_all(p_name, '([a-z]+)', 1)) AS t(m) WHERE p_partkey < 60", "SELECT p_partkey, unnest(regexp_extract_all(p_name, '([a-z]+)', 1)) AS m FROM part WHERE p_partkey < 60", bound="p_partkey < 60")
 

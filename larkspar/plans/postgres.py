@@ -20,3 +20,9 @@ pg("pg_quantified", "SELECT o_orderkey FROM orders WHERE o_custkey = ANY(ARRAY[1
 pg("pg_with_ties", "SELECT p_partkey, p_size FROM part ORDER BY p_size FETCH FIRST 7 ROWS WITH TIES", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size) AS r FROM part) WHERE r <= 7")
 pg("pg_json", "SELECT event_id, props->>'k' AS k FROM events WHERE event_type = 'click'")
 pg("pg_series", "SELECT g.x, count(o_orderkey) AS n FROM generate_series(0, 9) AS g(x) LEFT JOIN orders ON o_orderkey % 10 = g.x GROUP BY g.x")
+pg("pg_array_agg", "SELECT n_regionkey, array_join(array_agg(n_name ORDER BY n_nationkey DESC), '/') AS names, cardinality(array_agg(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END)) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '/' ORDER BY n_nationkey DESC) AS names, CAST(count(*) AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
+pg("pg_regexp_replace", "SELECT c_custkey, regexp_replace(c_name, '0', 'x') AS one, regexp_replace(c_name, '0', 'x', 'g') AS every FROM customer")
+pg("pg_window_refined", "SELECT o_orderkey, sum(o_orderkey) OVER (w ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey)", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
+pg("pg_num_nulls", "SELECT p_partkey, num_nulls(nullif(p_size, 1), p_name, NULL) AS n, num_nonnulls(nullif(p_size, 1), p_name) AS m FROM part", "SELECT p_partkey, CAST(CASE WHEN p_size = 1 THEN 2 ELSE 1 END AS INTEGER) AS n, CAST(CASE WHEN p_size = 1 THEN 1 ELSE 2 END AS INTEGER) AS m FROM part")
+pg("pg_quote", "SELECT r_regionkey, quote_ident(r_name) AS i, quote_literal(r_name || '''') AS l FROM region", "SELECT r_regionkey, '\"' || r_name || '\"' AS i, '''' || r_name || '''''''' AS l FROM region")
+pg("pg_vector_distance", "SELECT vec_id, round(embedding <-> embedding, 5) AS d FROM embeddings", "SELECT vec_id, CAST(0 AS DOUBLE) AS d FROM embeddings")

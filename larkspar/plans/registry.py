@@ -23,15 +23,14 @@ def _unbound(text: str, bound: tuple[str, ...]) -> str:
 def register(name: str, oracle: str | None = None, bound: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     """Register a query under ``name``, with the SQL that an independent engine can run on the same tables.
 
-    A query that takes a ``bound``, a filter that keeps few rows, is also registered as ``<name>_whole``, with TRUE in its place: over all rows.
+    A query that takes a ``bound``, a filter that keeps few rows, and its SQL are registered over all rows, with TRUE in its place.
     """
 
     def put(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         if bound is None:
             _put(name, query, oracle)
         else:
-            _put(name, lambda spark, sf_dir: query(spark, sf_dir, bound), oracle)
-            _put(name + "_whole", lambda spark, sf_dir: query(spark, sf_dir, "TRUE"), None if oracle is None else _unbound(oracle, (bound,)))
+            _put(name, lambda spark, sf_dir: query(spark, sf_dir, "TRUE"), None if oracle is None else _unbound(oracle, (bound,)))
         return query
 
     return put
@@ -46,13 +45,12 @@ def _put(name: str, query: Query, oracle: str | None) -> None:
 
 
 def sql(name: str, query: str, oracle: str | None, bound: str | tuple[str, ...] = ()) -> None:
-    """Register a query in Spark SQL over the tables that it names; with ``bound`` also ``<name>_whole``, with TRUE in place of each filter in it."""
+    """Register a query in Spark SQL over the tables that it names; each filter in ``bound`` gives way to TRUE, in both texts, so that all rows are read."""
     from larkspar.sources.tables import run_sql
 
+    bounds = (bound,) if isinstance(bound, str) else bound
+    query, oracle = _unbound(query, bounds), None if oracle is None else _unbound(oracle, bounds)
     register(name, oracle)(lambda spark, sf_dir: run_sql(spark, sf_dir, query))
-    if bound:
-        bounds = (bound,) if isinstance(bound, str) else bound
-        sql(name + "_whole", _unbound(query, bounds), None if oracle is None else _unbound(oracle, bounds))
 
 
 def both(name: str, query: str, bound: str | tuple[str, ...] = ()) -> None:

@@ -11,8 +11,7 @@ from larkspar.sources.tables import run_sql, table
 # Strings
 
 both("str_case", "SELECT c_custkey, lower(c_name) AS l, upper(c_mktsegment) AS u, length(c_name) AS n, reverse(c_name) AS r FROM customer WHERE c_custkey < 200", bound="c_custkey < 200")
-sql("str_lengths", "SELECT doc_id, length(t) AS n, octet_length(t) AS o, bit_length(t) AS b FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents) d", "SELECT doc_id, length(t) AS n, strlen(t) AS o, bit_length(t) AS b FROM (SELECT doc_id, substring(text, 1, 40) AS t FROM documents) d")
-sql("str_lengths_whole", "SELECT doc_id, length(text) AS n, octet_length(text) AS o, bit_length(text) AS b FROM documents", "SELECT doc_id, length(text) AS n, strlen(text) AS o, bit_length(text) AS b FROM documents")
+sql("str_lengths", "SELECT doc_id, length(text) AS n, octet_length(text) AS o, bit_length(text) AS b FROM documents", "SELECT doc_id, length(text) AS n, strlen(text) AS o, bit_length(text) AS b FROM documents")
 sql("str_trim", "SELECT n_nationkey, trim(BOTH 'x' FROM s) AS b, trim(LEADING 'x' FROM s) AS l, trim(TRAILING 'x' FROM s) AS t, btrim(concat('  ', n_name, ' ')) AS p FROM (SELECT n_nationkey, n_name, concat('xx', n_name, 'xyx') AS s FROM nation) n", "SELECT n_nationkey, trim(s, 'x') AS b, ltrim(s, 'x') AS l, rtrim(s, 'x') AS t, trim('  ' || n_name || ' ') AS p FROM (SELECT n_nationkey, n_name, 'xx' || n_name || 'xyx' AS s FROM nation) n")
 both("str_translate", "SELECT p_partkey, translate(p_name, 'abc', 'xy') AS t, replace(p_name, 'a', 'AA') AS r, replace(p_name, 'zzz', 'q') AS same FROM part WHERE p_partkey < 300", bound="p_partkey < 300")
 both("str_substring", "SELECT c_custkey, substring(c_name, 3, 4) AS a, substr(c_name, 2) AS b, left(c_name, 3) AS l, right(c_name, 4) AS r FROM customer WHERE c_custkey < 200", bound="c_custkey < 200")
@@ -48,9 +47,8 @@ both("str_split_part", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) A
 sql("str_to_array", "SELECT o_orderkey, size(split(o_orderpriority, '[- ]')) AS n, array_join(split(o_orderpriority, '[- ]'), '|') AS a FROM orders WHERE o_orderkey < 300", "SELECT o_orderkey, CAST(len(string_split_regex(o_orderpriority, '[- ]')) AS INTEGER) AS n, array_to_string(string_split_regex(o_orderpriority, '[- ]'), '|') AS a FROM orders WHERE o_orderkey < 300", bound="o_orderkey < 300")
 
 
-@register("str_initcap", "SELECT r_regionkey, 'Hello World' AS i FROM region")
-def str_initcap(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", F.initcap(F.lit("hELLO wORLD")).alias("i"))
+_INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+sql("str_initcap", "SELECT p_partkey, initcap(p_name) AS i, initcap(p_type) AS j FROM part", f"SELECT p_partkey, {_INITCAP} AS i, upper(p_type[1]) || lower(p_type[2:]) AS j FROM part")
 
 
 # Numbers
@@ -180,18 +178,10 @@ def json_set(spark, sf_dir, bound):
     return table(spark, sf_dir, "events").filter(bound).select("event_id", json_edit.json_set(p, "{k}", "[9]").alias("a"), json_edit.json_set(p, "{n}", "true").alias("b"))
 
 
-@register("json_insert", "SELECT event_id, '{\"a\":[0,' || event_id || ',2]}' AS before_, '{\"a\":[0,1,' || event_id || ']}' AS after_ FROM events WHERE event_id = 7")
+@register("json_insert", "SELECT event_id, '{\"a\":[' || event_id || ',7,2]}' AS before_, '{\"a\":[' || event_id || ',2,7]}' AS after_ FROM events")
 def json_insert(spark, sf_dir):
-    d = F.lit('{"a":[0,2]}')
-    e = F.lit('{"a":[0,1]}')
-    return table(spark, sf_dir, "events").filter("event_id = 7").select("event_id", json_edit.json_insert(d, "{a,1}", "7").alias("before_"), json_edit.json_insert(e, "{a,1}", "7", True).alias("after_"))
-
-
-@register("json_insert_whole", "SELECT event_id, '{\"a\":[0,7,2]}' AS before_, '{\"a\":[0,1,7]}' AS after_ FROM events")
-def json_insert_whole(spark, sf_dir):
-    d = F.lit('{"a":[0,2]}')
-    e = F.lit('{"a":[0,1]}')
-    return table(spark, sf_dir, "events").select("event_id", json_edit.json_insert(d, "{a,1}", "7").alias("before_"), json_edit.json_insert(e, "{a,1}", "7", True).alias("after_"))
+    d = F.concat(F.lit('{"a":['), F.col("event_id").cast("string"), F.lit(",2]}"))
+    return table(spark, sf_dir, "events").select("event_id", json_edit.json_insert(d, "{a,1}", "7").alias("before_"), json_edit.json_insert(d, "{a,1}", "7", True).alias("after_"))
 
 
 @register("json_delete", "SELECT event_id, '{}' AS a, '{\"x\":[1]}' AS b FROM events WHERE event_id < 300", bound="event_id < 300")
