@@ -202,6 +202,12 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int
 
     component_id: the smallest id reachable, itself included; kept: whether it is the row's own.
     """
+    out, tables = _linked(df, doc_id, text, size, numerator, denominator)
+    return dropped_with(out, *tables)
+
+
+def _linked(df: DataFrame, doc_id: str, text: str, size: int, numerator: int, denominator: int) -> tuple[DataFrame, list[Stash]]:
+    """What ``link`` returns, and the tables that it reads."""
     docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = Stash(_signed(docs, size))
     real = signed.df.filter("n > 0 AND id IS NOT NULL")
@@ -216,7 +222,7 @@ def link(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int
     kept = F.coalesce(F.col("id") == component, component.isNull())
     links.drop()
     out = signed.df.select("id", "n", "cls").join(comp, F.col("cls") == F.col("c"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
-    return dropped_with(out, signed, classes, graph)
+    return out, [signed, classes, graph]
 
 
 def _class_links(classes: Stash, docs: DataFrame, size: int, numerator: int, denominator: int) -> Stash:
@@ -350,7 +356,10 @@ def near_dedup(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", siz
     """
     own = fresh(df, "row")
     rows = numbered(df, own)
-    linked = Stash(link(rows.df, doc_id=own, text=text, size=size, numerator=numerator, denominator=denominator).select(F.col("doc_id").alias("r"), F.col("component_id").alias("component")))
+    out, tables = _linked(rows.df, own, text, size, numerator, denominator)
+    linked = Stash(out.select(F.col("doc_id").alias("r"), F.col("component_id").alias("component")))
+    for s in tables:
+        s.drop()
     order = F.struct(F.col("id").isNull().alias("last"), "id", "r")
     ids = rows.df.select(F.col(own).alias("r"), F.col(f"`{doc_id}`").cast("bigint").alias("id"))
     # Most components are single rows, of which none goes.

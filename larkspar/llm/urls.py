@@ -7,7 +7,8 @@ node of its template that stands on its own, and blocked if the smoothed share o
 All of it is DataFrame code. Pages are first counted by (host, template), with partial sums before the shuffle, so that a host with a third of all pages is as many rows as it has templates; the tree is
 grouped sums and joins by (host, node), never all of a host in one task.
 
-Rows: a url that is null or lacks ``://`` has an empty host and path, fits no rule and is judged at the empty host's root. Repeated pages stay and count each. Every segment of a path is a level of the tree.
+Rows: a url that is null or lacks ``://`` has an empty host and path, fits no rule and is judged at the empty host's root. Repeated pages stay and count each. Every segment of a path is a level of the tree, so that a very long path costs a
+row for each of its segments. Of rules of equal length the first by text wins; a share just at the limit blocks. An empty table gives an empty one; columns other than the id, the url and the label are not read, whatever their names.
 """
 
 from __future__ import annotations
