@@ -141,7 +141,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = rf"""
-WITH rest AS (
+WITH RECURSIVE rest AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
@@ -153,36 +153,34 @@ ruled AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts)),
-segments AS (
-  SELECT page_id, pos, seg FROM (
-    SELECT page_id, unnest(string_split(p, '/')) AS seg, generate_subscripts(string_split(p, '/'), 1) AS pos FROM (SELECT page_id, regexp_replace(path, '[0-9]+', '#', 'g') AS p FROM ruled))
-  WHERE seg <> ''),
-numbered AS (SELECT page_id, seg, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM segments),
-templates AS (SELECT page_id, string_agg(seg, '/' ORDER BY depth) AS template FROM numbered WHERE depth <= {urls.DEPTH} GROUP BY page_id),
-rows_ AS (SELECT r.*, coalesce(t.template, '') AS template FROM ruled r LEFT JOIN templates t USING (page_id)),
+rows_ AS (SELECT *, array_to_string(list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda s: s <> ''), '/') AS template FROM ruled),
 counted AS (
   SELECT host, template, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM rows_ GROUP BY host, template),
-levels AS (
-  SELECT host, template, n, depth, seg, array_to_string(string_split(template, '/')[1:depth - 1], '/') AS parent FROM (
-    SELECT host, template, n, unnest(string_split(template, '/')) AS seg, generate_subscripts(string_split(template, '/'), 1) AS depth FROM counted WHERE template <> '')),
-variable AS (
-  SELECT host, parent FROM (SELECT host, parent, seg, sum(n) AS n FROM levels GROUP BY host, parent, seg) GROUP BY host, parent HAVING count(*) >= {urls.MANY} AND sum(n) < {urls.FEW} * count(*)),
-general AS (
-  SELECT l.host, l.template, string_agg(CASE WHEN v.host IS NULL THEN l.seg ELSE '*' END, '/' ORDER BY depth) AS general
-  FROM levels l LEFT JOIN variable v ON l.host = v.host AND l.parent = v.parent GROUP BY l.host, l.template),
-mapped AS (SELECT c.host, c.template, coalesce(g.general, '') AS general, labelled, blocked FROM counted c LEFT JOIN general g ON c.host = g.host AND c.template = g.template),
+grown AS (
+  SELECT host, template, n, 0 AS level, CASE WHEN template = '' THEN 0 ELSE len(string_split(template, '/')) END AS deep, '' AS general FROM counted
+  UNION ALL
+  SELECT host, template, n, level + 1, deep, CASE WHEN level = 0 THEN '' ELSE general || '/' END ||
+    CASE WHEN count(DISTINCT seg) OVER (PARTITION BY host, general) >= {urls.MANY} AND sum(n) OVER (PARTITION BY host, general) < {urls.FEW} * count(DISTINCT seg) OVER (PARTITION BY host, general) THEN '*' ELSE seg END
+  FROM (SELECT *, string_split(template, '/')[level + 1] AS seg FROM grown WHERE level < deep)),
+mapped AS (SELECT c.host, c.template, general, labelled, blocked FROM counted c JOIN grown g ON c.host = g.host AND c.template = g.template AND g.level = g.deep),
 whole AS (SELECT host, general, CAST(sum(labelled) AS BIGINT) AS labelled, CAST(sum(blocked) AS BIGINT) AS blocked FROM mapped GROUP BY host, general),
 ways AS (
   SELECT host, general, labelled, blocked, depth, array_to_string(string_split(general, '/')[1:depth], '/') AS node, array_to_string(string_split(general, '/')[1:depth - 1], '/') AS parent FROM (
     SELECT host, general, labelled, blocked, generate_subscripts(string_split(general, '/'), 1) AS depth FROM whole WHERE general <> '')
   UNION ALL SELECT host, general, labelled, blocked, 0, '', NULL FROM whole),
 tree AS (SELECT host, depth, parent, node, CAST(sum(labelled) AS DOUBLE) AS l, CAST(sum(blocked) AS DOUBLE) AS b FROM ways GROUP BY host, depth, parent, node),
-pairs AS (
-  SELECT t.host, t.depth, t.node, t.l, t.b, u.l AS ul, u.b AS ub, (t.b + u.b) / (t.l + u.l) AS p
-  FROM tree t LEFT JOIN tree u ON t.host = u.host AND t.depth = u.depth + 1 AND t.parent = u.node WHERE t.depth = 0 OR t.l > 0),
+branches AS (
+  SELECT t.host, t.depth, t.parent, t.node, t.l, t.b, u.l - t.l AS rl, u.b - t.b AS rb, u.b / u.l AS p
+  FROM tree t JOIN tree u ON t.host = u.host AND t.depth = u.depth + 1 AND t.parent = u.node WHERE t.l > 0 AND u.l > t.l),
+apart AS (
+  SELECT *, b / l > rb / rl AS worse FROM branches
+  WHERE p * (1 - p) * (1.0 / l + 1.0 / rl) > 0 AND (b / l - rb / rl) * (b / l - rb / rl) >= {urls.DIFFERS} * (p * (1 - p) * (1.0 / l + 1.0 / rl))),
+sides AS (SELECT *, sum(l) OVER side AS sl, sum(b) OVER side AS sb FROM apart WINDOW side AS (PARTITION BY host, depth, parent, worse)),
 standing AS (
-  SELECT host, depth, node, (b + 1) / (l + 2) AS share FROM pairs
-  WHERE depth = 0 OR (p * (1 - p) * (1.0 / l + 1.0 / ul) > 0 AND (b / l - ub / ul) * (b / l - ub / ul) >= {urls.DIFFERS} * (p * (1 - p) * (1.0 / l + 1.0 / ul)))),
+  SELECT host, depth, node, CASE WHEN coalesce(q * (1 - q) * (1.0 / l + 1.0 / ol) > 0 AND (b / l - ob / ol) * (b / l - ob / ol) >= {urls.DIFFERS} * (q * (1 - q) * (1.0 / l + 1.0 / ol)), FALSE)
+    THEN (b + 1) / (l + 2) ELSE (sb + 1) / (sl + 2) END AS share
+  FROM (SELECT *, sb / sl AS q, nullif(sl - l, 0) AS ol, sb - b AS ob FROM sides)
+  UNION ALL SELECT host, depth, node, (b + 1) / (l + 2) FROM tree WHERE depth = 0),
 decided AS (SELECT w.host, w.general, max_by(share, w.depth) AS share FROM ways w JOIN standing s ON w.host = s.host AND w.depth = s.depth AND w.node = s.node GROUP BY w.host, w.general)
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN share >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM rows_ r LEFT JOIN mapped m ON r.host = m.host AND r.template = m.template LEFT JOIN decided d ON m.host = d.host AND m.general = d.general

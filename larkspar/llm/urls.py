@@ -1,8 +1,9 @@
 """URL filters: host and path rules, and for the rest a path-template tree of each host.
 
 A path becomes a template in two steps: digits in a segment become ``#``, and, from the host's root down, where the branches below a node (as generalised so far) are many and hold few pages each, the segment is variable and becomes ``*``. Every prefix of a template is a
-node, with the labelled pages below it and how many of those are blocked. A branch that is statistically like the node above it (a two-proportion test), or has no labelled page, is merged into it; a page is judged by the deepest
-node of its template that stands on its own, and blocked if the smoothed share of blocked pages there is high. Labels are the verdicts of the rules, or a column.
+node, with the labelled pages below it and how many of those are blocked. A branch that is statistically like the rest of the node above it (a two-proportion test), that is all of it, or that has no labelled page, is merged into that
+node. Of the branches of a node that stand out to the same side, more blocked or less, those that are like the others of their side are merged with them and share one count; one that differs from them too keeps its own. A page is judged
+by the deepest node of its template that stands out, and blocked if the smoothed share of blocked pages there is high. Labels are the verdicts of the rules, or a column.
 
 All of it is DataFrame code. Pages are first counted by (host, template), with partial sums before the shuffle, so that a host with a third of all pages is as many rows as it has templates; the tree is
 grouped sums and joins by (host, node), never all of a host in one task.
@@ -20,11 +21,9 @@ from pyspark.sql import functions as F
 
 from larkspar.llm.common import LOWER, UPPER, Stash, dropped_with
 
-#: Levels of the tree below a host in the SQL of op9_urls; the tree itself has all.
-DEPTH = 6
 #: A node's branches are one variable segment if they are so many and hold fewer pages each, on average.
 MANY, FEW = 16, 4
-#: Square of the z value from which a branch's blocked share differs from that of the node above it.
+#: Square of the z value from which two blocked shares differ.
 DIFFERS = 4.0
 #: Smoothed share of blocked pages from which a template is rejected.
 REJECT = 0.7
@@ -90,6 +89,14 @@ def _generalised(counted: DataFrame) -> Stash:
     return now
 
 
+def _differs(labelled: Column, blocked: Column, others: Column, others_blocked: Column) -> Column:
+    """Two-proportion test: the blocked share of some labelled pages differs from that of others; false if there are no others."""
+    gap = F.try_divide(blocked, labelled) - F.try_divide(others_blocked, others)
+    pooled = F.try_divide(blocked + others_blocked, labelled + others)
+    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), others))
+    return F.coalesce((spread > 0) & (gap * gap >= DIFFERS * spread), F.lit(False))
+
+
 def judge(pages: DataFrame, known: tuple[Rule, ...], *, page_id: str = "page_id", url: str = "url", label: str | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and block_share (of the deciding node) for each row.
 
@@ -113,14 +120,15 @@ def judge(pages: DataFrame, known: tuple[Rule, ...], *, page_id: str = "page_id"
     nodes = below.groupBy("host", "depth", "parent", join_node.alias("node")).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     roots = whole.groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).select("host", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("node"), "labelled", "blocked")
     tree = nodes.unionByName(roots)
-    up = tree.select("host", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("labelled").alias("up_labelled"), F.col("blocked").alias("up_blocked"))
-    share = F.col("blocked") / F.col("labelled") - F.col("up_blocked") / F.col("up_labelled")
-    pooled = (F.col("blocked") + F.col("up_blocked")) / (F.col("labelled") + F.col("up_labelled"))
-    spread = pooled * (1 - pooled) * (F.lit(1.0) / F.col("labelled") + F.lit(1.0) / F.col("up_labelled"))
-    own = (F.col("depth") == 0) | F.coalesce((F.col("labelled") > 0) & (share * share >= DIFFERS * spread) & (spread > 0), F.lit(False))
-    # A node without labelled pages divides by nothing: its test must not run.
-    safe = tree.join(up, ["host", "depth", "parent"], "left").filter((F.col("depth") == 0) | (F.col("labelled") > 0))
-    standing = safe.filter(own).select("host", "depth", "node", ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("share"))
+    labelled, blocked = F.col("labelled"), F.col("blocked")
+    up = tree.select("host", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), labelled.alias("up_labelled"), blocked.alias("up_blocked"))
+    branches = tree.filter((F.col("depth") > 0) & (labelled > 0)).join(up, ["host", "depth", "parent"]).withColumns({"rest": F.col("up_labelled") - labelled, "rest_blocked": F.col("up_blocked") - blocked})
+    out_of_line = branches.filter(_differs(labelled, blocked, F.col("rest"), F.col("rest_blocked"))).withColumn("worse", blocked / labelled > F.try_divide("rest_blocked", "rest"))
+    sides = out_of_line.groupBy("host", "depth", "parent", "worse").agg(F.sum("labelled").alias("side"), F.sum("blocked").alias("side_blocked"))
+    alone = _differs(labelled, blocked, F.col("side") - labelled, F.col("side_blocked") - blocked)
+    own, pooled = (blocked + 1) / (labelled + 2), (F.col("side_blocked") + 1) / (F.col("side") + 2)
+    standing = out_of_line.join(sides, ["host", "depth", "parent", "worse"]).select("host", "depth", "node", F.when(alone, own).otherwise(pooled).alias("share"))
+    standing = standing.unionByName(roots.select("host", "depth", "node", own.alias("share")))
     # The deepest standing node of each template.
     ways = _levels(whole).select("host", "template", "depth", join_node.alias("node")).unionByName(whole.select("host", "template", F.lit(0).alias("depth"), F.lit("").alias("node")))
     decided = ways.join(standing, ["host", "depth", "node"]).groupBy("host", F.col("template").alias("general")).agg(F.max_by("share", "depth").alias("block_share"))
