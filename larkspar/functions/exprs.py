@@ -153,13 +153,51 @@ def to_char(ts: Column, template: str) -> Column:
     return F.date_format(ts, date_pattern(template))
 
 
+_DAY = 86_400_000_000
+
+
+def interval_text(micros: Column, months: Column | None = None) -> Column:
+    """An interval as text: years, months and days that are not 0, in the plural unless 1, then the clock if it is not 0; ``00:00:00`` if all are."""
+
+    def part(n: Column, unit: str) -> Column:
+        return F.when(n != 0, F.concat(n.cast("string"), F.when(n == 1, f" {unit}").otherwise(f" {unit}s")))
+
+    rest = micros % _DAY
+    days, clock = ((micros - rest) / _DAY).cast("bigint"), F.abs(rest)
+    fraction = F.when(clock % 1_000_000 != 0, F.concat(F.lit("."), F.regexp_replace(F.format_string("%06d", clock % 1_000_000), "0+$", ""))).otherwise("")
+    of_day = F.format_string("%02d:%02d:%02d", F.floor(clock / 3_600_000_000), F.floor(clock % 3_600_000_000 / 60_000_000), F.floor(clock % 60_000_000 / 1_000_000))
+    parts = [part(days, "day"), F.when(rest != 0, F.concat(F.when(rest < 0, "-").otherwise(""), of_day, fraction))]
+    if months is not None:
+        parts = [part(((months - months % 12) / 12).cast("bigint"), "year"), part(months % 12, "mon"), *parts]
+    text = F.concat_ws(" ", *parts)
+    return F.when(micros.isNotNull(), F.when(text == "", "00:00:00").otherwise(text))
+
+
+def age(later: Column, earlier: Column) -> Column:
+    """The plain difference of two times, in days and clock, as text."""
+    return interval_text(F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp")))
+
+
+def make_interval(years: Column, months: Column, weeks: Column, days: Column, hours: Column, minutes: Column, seconds: Column) -> Column:
+    """An interval in microseconds; a year is 365 days and a month 30."""
+    whole = (years.cast("bigint") * 365 + months * 30 + weeks * 7 + days) * 86_400 + hours * 3600 + minutes * 60
+    return whole * 1_000_000 + F.round(seconds * 1_000_000).cast("bigint")
+
+
+def justify_hours(seconds: Column) -> Column:
+    """An interval of seconds as text, with days of 24 hours taken out."""
+    return interval_text(seconds.cast("bigint") * 1_000_000)
+
+
 def justify_interval(seconds: Column) -> Column:
     """An interval of seconds as text, with days of 24 hours and months of 30 days taken out."""
-    days = F.floor(seconds / 86_400)
-    rest = seconds - days * 86_400
-    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60)))
-    months = F.floor(days / 30)
-    return F.concat_ws(" ", F.when(months > 0, F.concat(months.cast("string"), F.lit(" mons"))), F.when(days % 30 > 0, F.concat((days % 30).cast("string"), F.lit(" days"))), clock)
+    micros, month = seconds.cast("bigint") * 1_000_000, 30 * _DAY
+    return interval_text(micros % month, ((micros - micros % month) / month).cast("bigint"))
+
+
+def isfinite(x: Column) -> Column:
+    """False for infinities and NaN; times have none here."""
+    return ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
 def width_bucket(x: Column, low: float, high: float, n: int) -> Column:

@@ -128,6 +128,16 @@ def json_strip_nulls(doc: Column) -> Column:
     return edit(doc)
 
 
+def json_pretty(doc: Column) -> Column:
+    """The document over several lines, four spaces a level, its keys in their order."""
+
+    @pandas_udf("string")
+    def edit(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda d: json.dumps(json.loads(d), indent=4, ensure_ascii=False), na_action="ignore")
+
+    return edit(doc)
+
+
 def json_contains(doc: Column, part: Column) -> Column:
     """``doc @> part``; null if either is."""
 

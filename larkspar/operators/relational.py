@@ -44,33 +44,32 @@ def groups_frame(df: DataFrame, partition: Sequence[str], order: Column, agg: Ca
     return ranked.withColumn(out, agg(frame)).drop("__g")
 
 
-def frame_exclude(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, start: int, end: int, exclude: str, out: str) -> DataFrame:
-    """The sum of ``value`` over ROWS start..end without the current row, its peer group, or its peers but itself (``exclude``: current, group, ties); null if nothing is left.
+def frame_exclude(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, start: int, end: int, exclude: str, out: str, agg: str = "sum") -> DataFrame:
+    """``agg`` (sum, count or avg) of ``value`` over ROWS start..end without the current row, its peer group, or its peers but itself (``exclude``: current, group, ties); a sum or average of nothing is null.
 
-    Over a whole partition it is the partition's sum less what is excluded: three window sums, whatever the partition's size. Other frames gather their rows with place and peer group, and those that stay are added, so that a frame's memory is that of its rows.
+    A peer group is a run of rows, so its rows within the frame are the same frame over the group alone: what stays is one window's sums less the other's, and no row holds its frame. Numbers that are not finite are counted apart, since they cannot be taken off a sum.
+    Rows that tie in ``order`` come in one order of the engine's choosing, the same in both windows.
     """
-    if start <= Window.unboundedPreceding and end >= Window.unboundedFollowing:
-        return _whole_exclude(df, partition, order, value, exclude, out)
     by = Window.partitionBy(*partition).orderBy(*order)
-    numbered = df.withColumns({"__r": F.row_number().over(by), "__g": F.dense_rank().over(by), "__v": value.cast("double")})
-    rows = F.collect_list(F.struct("__r", "__g", "__v")).over(Window.partitionBy(*partition).orderBy("__r").rowsBetween(start, end))
-    stays = {
-        "current": lambda x: x["__r"] != F.col("__r"),
-        "group": lambda x: x["__g"] != F.col("__g"),
-        "ties": lambda x: (x["__g"] != F.col("__g")) | (x["__r"] == F.col("__r")),
-    }[exclude]
-    numbered = numbered.withColumn("__rows", rows).withColumn("__rows", F.filter("__rows", lambda x: stays(x) & x["__v"].isNotNull()))
-    total = F.when(F.size("__rows") > 0, F.aggregate("__rows", F.lit(0.0), lambda s, x: s + x["__v"]))
-    return numbered.withColumn(out, total).drop("__r", "__g", "__v", "__rows")
-
-
-def _whole_exclude(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, exclude: str, out: str) -> DataFrame:
-    ranked = df.withColumn("__v", value.cast("double")).withColumn("__g", F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
-    all_, peers = Window.partitionBy(*partition), Window.partitionBy(*partition, "__g")
-    own, own_n = F.coalesce("__v", F.lit(0.0)), F.col("__v").isNotNull().cast("bigint")
-    gone = {"current": (own, own_n), "group": (F.sum(own).over(peers), F.sum(own_n).over(peers)), "ties": (F.sum(own).over(peers) - own, F.sum(own_n).over(peers) - own_n)}[exclude]
-    total, n = F.sum(own).over(all_) - gone[0], F.sum(own_n).over(all_) - gone[1]
-    return ranked.withColumns({"__s": total, "__c": n}).withColumn(out, F.when(F.col("__c") > 0, F.col("__s"))).drop("__v", "__g", "__s", "__c")
+    x = value.cast("double")
+    ranked = df.withColumns({"__r": F.row_number().over(by), "__g": F.dense_rank().over(by), "__x": x})
+    x, inf = F.col("__x"), float("inf")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != inf)
+    terms = {"__s": F.when(finite, x).otherwise(0.0), "__n": x.isNotNull(), "__nan": F.isnan(x), "__up": x == inf, "__down": x == -inf}
+    ranked = ranked.withColumns({k: c if k == "__s" else F.coalesce(c, F.lit(False)).cast("bigint") for k, c in terms.items()})
+    frame = Window.partitionBy(*partition).orderBy("__r").rowsBetween(start, end)
+    peers = Window.partitionBy(*partition, "__g").orderBy("__r").rowsBetween(start, end)
+    here = start <= 0 <= end
+
+    def gone(c: str) -> Column:
+        own = F.col(c) if here else F.lit(0)
+        return own if exclude == "current" else F.sum(c).over(peers) if exclude == "group" else F.sum(c).over(peers) - own
+
+    left = ranked.withColumns({f"{c}_left": F.coalesce(F.sum(c).over(frame), F.lit(0)) - F.coalesce(gone(c), F.lit(0)) for c in terms})
+    n, nan, up, down = (F.col(f"{c}_left") for c in ("__n", "__nan", "__up", "__down"))
+    total = F.when((nan > 0) | (up > 0) & (down > 0), float("nan")).when(up > 0, inf).when(down > 0, -inf).otherwise(F.col("__s_left"))
+    answer = {"sum": F.when(n > 0, total), "count": n, "avg": F.when(n > 0, total / n)}[agg]
+    return left.withColumn(out, answer).drop("__r", "__g", "__x", *terms, *[f"{c}_left" for c in terms])
 
 
 def upsert_do_nothing(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -98,6 +97,29 @@ def delete_where(df: DataFrame, where: Column) -> DataFrame:
     return df.filter(~F.coalesce(where, F.lit(False)))
 
 
+def delete_returning(df: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
+    """DELETE ... WHERE ... RETURNING *: the rows that stay, and those that go."""
+    return delete_where(df, where), df.filter(where)
+
+
+def truncate(df: DataFrame) -> DataFrame:
+    """TRUNCATE: the table without rows; nothing of it is read."""
+    return df.filter(F.lit(False))
+
+
+def insert(target: DataFrame, new: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """INSERT INTO target (columns of new): a column that is not given takes its default, or null."""
+    given, defaults = set(new.columns), defaults or {}
+    types = dict(target.dtypes)
+    return target.unionByName(new.select(*[(F.col(f"`{c}`") if c in given else defaults.get(c, F.lit(None))).cast(types[c]).alias(c) for c in target.columns]))
+
+
+def explain(df: DataFrame) -> DataFrame:
+    """EXPLAIN: the plan, a row for each line."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return df.sparkSession.createDataFrame(list(enumerate(text.splitlines(), 1)), "line int, plan string")
+
+
 def not_null_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Column and number of its nulls, for columns that must have none and do; one pass."""
     counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns])
@@ -111,8 +133,14 @@ def unique_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return present.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
-def analyze_stats(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Row count, null fraction, distinct values, least and greatest of each column; distinct values by HyperLogLog if not ``exact``."""
+#: Rows up to which distinct values are counted one by one, as a fixed value of ANALYZE.
+EXACT_ROWS = 10_000
+
+
+def analyze_stats(df: DataFrame, columns: Sequence[str], exact: bool | None = None) -> DataFrame:
+    """Row count, null fraction, distinct values, least and greatest of each column; distinct values by HyperLogLog (within about 5 %) if not ``exact``, by default for more than EXACT_ROWS rows."""
+    if exact is None:
+        exact = df.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
     count = F.count_distinct if exact else F.approx_count_distinct
     aggs = [F.count(F.lit(1)).alias("n")]
     for k, c in enumerate(columns):
@@ -138,10 +166,26 @@ def most_common(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), column).limit(n)
 
 
-def histogram_bounds(df: DataFrame, column: str, buckets: int = 8) -> list:
-    """Bounds of an equi-depth histogram, by exact percentiles."""
-    at = [k / buckets for k in range(buckets + 1)]
-    return df.agg(F.percentile(column, F.lit(at))).first()[0]
+def histogram_bounds(df: DataFrame, column: str, buckets: int = 8, ranges: int = 256) -> list:
+    """Bounds of an equi-depth histogram: exact percentiles, interpolated; None for a column without values.
+
+    Values are counted, the counts are dealt to ``ranges`` ranges by a sketch of percentiles, and running counts are made within each: no task has them all, and the driver gets a count for each range and two values for each bound.
+    """
+    counts = df.select(F.col(f"`{column}`").cast("double").alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    cuts = sorted(set(counts.agg(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []))
+    dealt = counts.withColumn("range", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("x"))))
+    before, total = {}, 0
+    for r, n in sorted(dealt.groupBy("range").agg(F.sum("n")).collect()):
+        before[r], total = total, total + n
+    if not total:
+        return [None] * (buckets + 1)
+    start = F.element_at(F.create_map(*[F.lit(v).cast("bigint") for kv in before.items() for v in kv]), F.col("range").cast("bigint"))
+    upto = start + F.sum("n").over(Window.partitionBy("range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    places = [k * (total - 1) / buckets for k in range(buckets + 1)]
+    wanted = sorted({int(p) for p in places} | {min(int(p) + 1, total - 1) for p in places})
+    ranked = dealt.withColumn("upto", upto).withColumn("at", F.explode(F.filter(F.lit(wanted).cast("array<bigint>"), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))))
+    value = {r["at"]: r["x"] for r in ranked.select("at", "x").collect()}
+    return [value[int(p)] + (value[min(int(p) + 1, total - 1)] - value[int(p)]) * (p - int(p)) if p > int(p) else value[int(p)] for p in places]
 
 
 def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, metric: str = "l2", tie: str | None = None, offset: int = 0) -> DataFrame:

@@ -142,4 +142,19 @@ def _exclude(kind: str, words: str, rows: str, start: int, end: int) -> None:
 _exclude("current", "CURRENT ROW", "ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING", -3, 1)
 _exclude("group", "GROUP", "", Window.unboundedPreceding, Window.unboundedFollowing)
 _exclude("ties", "TIES", "", Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+# Bounded frames whose peers tie: rows of a peer group have equal values here, so that their order does not show.
+for _kind in ("group", "ties"):
+    for _agg in ("sum", "count", "avg"):
+        _call = f"{_agg}(CASE WHEN c_nationkey % 4 > 0 THEN c_nationkey END) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey ROWS BETWEEN 30 PRECEDING AND 12 FOLLOWING EXCLUDE {_kind.upper()})"
+
+        @register(f"frame_exclude_{_kind}_rows_{_agg}", f"SELECT c_mktsegment, c_nationkey, v, count(*) AS n FROM (SELECT c_mktsegment, c_nationkey, {_call if _agg == 'count' else f'CAST(round({_call}, 6) AS DOUBLE)'} AS v FROM customer) GROUP BY ALL")
+        def query(spark, sf_dir, kind=_kind, agg=_agg):
+            value = F.when(F.col("c_nationkey") % 4 > 0, F.col("c_nationkey"))
+            out = rel.frame_exclude(table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey"), ["c_mktsegment"], [F.col("c_nationkey")], value, -30, 12, kind, "v", agg)
+            out = out if agg == "count" else out.withColumn("v", F.round("v", 6))
+            return out.groupBy("c_mktsegment", "c_nationkey", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 sql("named_window", "SELECT o_orderkey, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WINDOW w AS (PARTITION BY o_custkey)", "SELECT o_orderkey, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WINDOW w AS (PARTITION BY o_custkey)")

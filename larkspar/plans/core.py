@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from larkspar.functions import exprs
 from larkspar.operators import relational as rel
 from larkspar.plans.registry import both, register, sql
-from larkspar.sources.tables import copy_from, copy_to, run_sql, table
-
+from larkspar.sources.tables import TABLES, copy_from, copy_to, run_sql, table
+from larkspar.sources.tables import register as register_views
 
 
 def _scratch(spark) -> str:
@@ -123,12 +123,18 @@ def partition_pruned_scan(spark, sf_dir):
     return spark.read.schema("n_name string, n_regionkey int").parquet(path).filter("n_regionkey = 1 OR n_regionkey = 3")
 
 
-@register("info_schema_columns")
-def info_schema_columns(spark, sf_dir):
-    from larkspar.sources.tables import TABLES
+#: The names that the catalogue gives to types.
+_TYPES = {"string": "text", "double": "double precision", "float": "real", "int": "integer", "timestamp_ntz": "timestamp without time zone", "array<float>": "real[]", "array<double>": "double precision[]"}
 
-    fields = [(t, k + 1, f.name, f.dataType.simpleString(), f.nullable) for t in TABLES for k, f in enumerate(table(spark, sf_dir, t).schema)]
-    return spark.createDataFrame(fields, "table_name string, ordinal_position int, column_name string, data_type string, is_nullable boolean")
+
+@register("info_schema_columns", """SELECT table_name, ordinal_position, column_name, CASE data_type WHEN 'VARCHAR' THEN 'text' WHEN 'DOUBLE' THEN 'double precision' WHEN 'FLOAT' THEN 'real' WHEN 'TIMESTAMP' THEN 'timestamp without time zone'
+WHEN 'FLOAT[]' THEN 'real[]' WHEN 'DOUBLE[]' THEN 'double precision[]' ELSE lower(data_type) END AS data_type, is_nullable FROM information_schema.columns
+WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')""")
+def info_schema_columns(spark, sf_dir):
+    """The session's catalogue, after the folder's tables are registered in it as views."""
+    register_views(spark, sf_dir, " ".join(TABLES))
+    fields = [(t, k, c.name, _TYPES.get(c.dataType, c.dataType), "YES" if c.nullable else "NO") for t in TABLES for k, c in enumerate(spark.catalog.listColumns(t), 1)]
+    return spark.createDataFrame(fields, "table_name string, ordinal_position int, column_name string, data_type string, is_nullable string")
 
 
 # Projection and predicates

@@ -70,9 +70,11 @@ both("num_trig", "SELECT p_partkey, round(sin(p_size), 8) AS s, round(cos(p_size
 sql("num_width_bucket", "SELECT p_partkey, width_bucket(CAST(p_size AS DOUBLE), 5, 45, 8) AS b FROM part", "SELECT p_partkey, CASE WHEN p_size < 5 THEN 0 WHEN p_size >= 45 THEN 9 ELSE CAST(floor((p_size - 5) / 5.0) AS BIGINT) + 1 END AS b FROM part")
 
 
-@register("num_random")
+@register("num_random", "SELECT r_regionkey, TRUE AS in_range, TRUE AS seeded, TRUE AS uuid_shaped FROM region")
 def num_random(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", (F.rand(42) < 1).alias("in_range"), (F.length(F.uuid()) == 36).alias("uuid_shaped"))
+    """RANDOM, SETSEED (a seed gives the same numbers again) and GEN_RANDOM_UUID."""
+    x = F.rand()
+    return table(spark, sf_dir, "region").select("r_regionkey", ((x >= 0) & (x < 1)).alias("in_range"), (F.rand(42) == F.rand(42)).alias("seeded"), F.uuid().rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("uuid_shaped"))
 
 
 # Dates and times
@@ -100,13 +102,25 @@ def date_bin(spark, sf_dir):
 
 sql("date_make", "SELECT n_nationkey, date_format(make_date(2020 + n_regionkey, 1 + n_nationkey % 12, 28), 'yyyy-MM-dd') AS d, date_format(make_timestamp_ntz(2021, 3, 4, n_nationkey % 24, 5, 6), 'yyyy-MM-dd HH:mm:ss') AS t, format_string('%02d:%02d:%02d', n_nationkey % 24, 7, 8) AS tm FROM nation", "SELECT n_nationkey, strftime(make_date(2020 + n_regionkey, 1 + n_nationkey % 12, 28), '%Y-%m-%d') AS d, strftime(make_timestamp(2021, 3, 4, n_nationkey % 24, 5, 6), '%Y-%m-%d %H:%M:%S') AS t, printf('%02d:%02d:%02d', n_nationkey % 24, 7, 8) AS tm FROM nation")
 sql("date_interval", "SELECT event_id, date_format(ts + INTERVAL 3 DAY - INTERVAL 90 MINUTE, 'yyyy-MM-dd HH:mm:ss') AS a, date_format(ts + make_dt_interval(2, 3, 4, 5), 'yyyy-MM-dd HH:mm:ss') AS b FROM events WHERE event_id < 300", "SELECT event_id, strftime(ts + INTERVAL 3 DAY - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts + to_days(2) + to_hours(3) + to_minutes(4) + to_seconds(5), '%Y-%m-%d %H:%M:%S') AS b FROM events WHERE event_id < 300", bound="event_id < 300")
-sql("date_age", "SELECT event_id, CAST(CAST(unix_seconds(CAST(ts AS TIMESTAMP)) - unix_seconds(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) AS BIGINT) AS s FROM events WHERE event_id < 300", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) AS s FROM events WHERE event_id < 300", bound="event_id < 300")
 
+@register("date_age", "SELECT event_id, CAST(ts - TIMESTAMP '2024-01-01 00:00:00' AS VARCHAR) AS a FROM events")
+def date_age(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", exprs.age(F.col("ts"), F.lit("2024-01-01 00:00:00")).alias("a"))
 
-@register("date_justify", "SELECT * FROM (VALUES (90061, '1 days 01:01:01'), (2700000, '1 mons 1 days 06:00:00'), (59, '00:00:59'), (5184000, '2 mons 00:00:00')) t(s, j)")
+
+@register("date_make_interval", "SELECT n_nationkey, CAST(to_days(CAST(n_regionkey * 365 + (n_nationkey % 5) * 30 + 14 + n_nationkey AS INTEGER)) + to_hours(2) + to_minutes(30) + to_seconds(CAST(n_nationkey % 3 AS INTEGER)) AS VARCHAR) AS i FROM nation")
+def date_make_interval(spark, sf_dir):
+    n = F.col("n_nationkey")
+    micros = exprs.make_interval(F.col("n_regionkey"), n % 5, F.lit(2), n, F.lit(2), F.lit(30), n % 3)
+    return table(spark, sf_dir, "nation").select("n_nationkey", exprs.interval_text(micros).alias("i"))
+
+
+
+
+@register("date_justify", "SELECT * FROM (VALUES (90061, '1 day 01:01:01', '1 day 01:01:01'), (2700000, '31 days 06:00:00', '1 mon 1 day 06:00:00'), (59, '00:00:59', '00:00:59'), (5184000, '60 days', '2 mons'), (0, '00:00:00', '00:00:00'), (3546000, '41 days 01:00:00', '1 mon 11 days 01:00:00')) t(s, h, j)")
 def date_justify(spark, sf_dir):
-    rows = spark.createDataFrame([(90_061,), (2_700_000,), (59,), (5_184_000,)], "s int")
-    return rows.select("s", exprs.justify_interval(F.col("s")).alias("j"))
+    rows = spark.createDataFrame([(90_061,), (2_700_000,), (59,), (5_184_000,), (0,), (3_546_000,)], "s int")
+    return rows.select("s", exprs.justify_hours(F.col("s")).alias("h"), exprs.justify_interval(F.col("s")).alias("j"))
 
 
 @register("date_to_char", "SELECT event_id, strftime(ts, '%Y/%m/%d %H.%M.%S') AS c FROM events WHERE event_id < 300", bound="event_id < 300")
@@ -131,9 +145,27 @@ def date_overlaps(spark, sf_dir):
     return a.join(b, "user_id").filter((F.col("a") < F.col("b")) & exprs.overlaps(F.col("s1"), F.col("s1") + hour + hour, F.col("s2"), F.col("s2") + hour)).select("a", "b")
 
 
-@register("date_now")
+@register("date_now", "SELECT r_regionkey, TRUE AS now_ok, TRUE AS date_ok, TRUE AS clock_ok, TRUE AS time_ok, TRUE AS local_ok FROM region")
 def date_now(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", (F.current_timestamp() >= F.lit("2020-01-01").cast("timestamp")).alias("now_ok"), (F.current_date() == F.to_date(F.current_timestamp())).alias("date_ok"), F.lit(True).alias("finite"))
+    """The clock of the query is frozen; CLOCK_TIMESTAMP is the machine's, later than it by less than a day."""
+    clock = F.timestamp_millis(F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("bigint"))
+    now = F.current_timestamp()
+    return table(spark, sf_dir, "region").select(
+        "r_regionkey",
+        (now >= F.lit("2020-01-01").cast("timestamp")).alias("now_ok"),
+        (F.current_date() == F.to_date(now)).alias("date_ok"),
+        ((clock >= F.date_trunc("second", now)) & (clock < now + F.expr("INTERVAL 1 DAY"))).alias("clock_ok"),
+        (F.current_time().cast("string").substr(1, 8) == F.date_format(now, "HH:mm:ss")).alias("time_ok"),
+        (F.localtimestamp().cast("timestamp") == now).alias("local_ok"),
+    )
+
+
+_SOME = "CASE WHEN o_orderkey % 7 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN o_orderkey % 7 = 1 THEN CAST('-Infinity' AS DOUBLE) WHEN o_orderkey % 7 = 2 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_totalprice END"
+
+
+@register("isfinite", f"SELECT o_orderkey, isfinite({_SOME}) AS f FROM orders")
+def isfinite(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", exprs.isfinite(F.expr(_SOME)).alias("f"))
 
 
 # Arrays
@@ -164,7 +196,13 @@ sql("json_array_length", "SELECT k, json_array_length(j) AS n FROM VALUES (1, '[
 sql("json_valid", "SELECT event_id, try_parse_json(s) IS NOT NULL AS ok FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, 4) ELSE props END AS s FROM events WHERE event_id < 300) t", "SELECT event_id, json_valid(s) AS ok FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN substring(props, 1, 4) ELSE props END AS s FROM events WHERE event_id < 300) t", bound="event_id < 300")
 sql("json_path_exists", "SELECT event_id, variant_get(parse_json(props), '$.k') IS NOT NULL AS k, variant_get(parse_json(props), '$.z') IS NOT NULL AS z FROM events WHERE event_id < 300", "SELECT event_id, json_exists(props, '$.k') AS k, json_exists(props, '$.z') AS z FROM events WHERE event_id < 300", bound="event_id < 300")
 sql("json_concat", "SELECT event_id, to_json(map_concat(from_json(props, 'map<string,variant>'), from_json('{\"z\":[1]}', 'map<string,variant>'))) AS j FROM events WHERE event_id < 100", "SELECT event_id, CAST(json_merge_patch(props::JSON, '{\"z\":[1]}'::JSON) AS VARCHAR) AS j FROM events WHERE event_id < 100", bound="event_id < 100")
-sql("json_pretty_compact", "SELECT event_id, regexp_replace(to_json(from_json(props, 'map<string,int>'), map('pretty', 'true')), '[ \\n]', '') AS j FROM events WHERE event_id < 100", "SELECT event_id, replace(CAST(props AS VARCHAR), ' ', '') AS j FROM events WHERE event_id < 100", bound="event_id < 100")
+
+@register("json_pretty_compact", "SELECT event_id, json_pretty('{\"a\":[1,{\"b\":' || event_id || '}],\"c\":' || props || '}') AS j FROM events")
+def json_pretty(spark, sf_dir):
+    doc = F.concat(F.lit('{"a":[1,{"b":'), F.col("event_id").cast("string"), F.lit('}],"c":'), F.col("props"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", json_edit.json_pretty(doc).alias("j"))
+
+
 
 
 @register("json_contains", "SELECT event_id, json_extract_string(props, '$.k') = '5' AS c FROM events WHERE event_id < 500", bound="event_id < 500")

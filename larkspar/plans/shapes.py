@@ -84,6 +84,29 @@ def delete_where(spark, sf_dir):
     return rel.delete_where(table(spark, sf_dir, "orders"), price > 100000).select("o_orderkey")
 
 
+@register("delete_returning", "SELECT o_orderkey, o_totalprice FROM orders WHERE CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END > 100000")
+def delete_returning(spark, sf_dir):
+    price = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    return rel.delete_returning(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), price > 100000)[1]
+
+
+@register("truncate_insert", "SELECT n_nationkey AS r_regionkey, n_name AS r_name FROM nation")
+def truncate_insert(spark, sf_dir):
+    new = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name"))
+    return rel.insert(rel.truncate(table(spark, sf_dir, "region").select("r_regionkey", "r_name")), new)
+
+
+@register("insert_default", "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey + 1000000, 'unnamed', NULL FROM supplier")
+def insert_default(spark, sf_dir):
+    new = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("c_custkey"))
+    return rel.insert(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), new, {"c_name": F.lit("unnamed")})
+
+
+@register("explain")
+def explain(spark, sf_dir):
+    return rel.explain(run_sql(spark, sf_dir, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey"))
+
+
 @register("insert_select", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 1")
 def insert_select(spark, sf_dir):
     more = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select((F.col("n_nationkey") + 100).alias("r_regionkey"), F.col("n_name").alias("r_name"))
@@ -119,7 +142,7 @@ UNION ALL SELECT 'o_orderstatus', count(*), 0.0::DOUBLE, count(DISTINCT o_orders
 UNION ALL SELECT 'part', count(*), round(1 - count(p) / count(*), 6), count(DISTINCT p), min(p), max(p) FROM (SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS p FROM orders)""")
 def analyze_stats(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("part", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")))
-    return rel.analyze_stats(orders, ["o_orderkey", "o_orderstatus", "part"]).withColumn("null_frac", F.round("null_frac", 6))
+    return rel.analyze_stats(orders, ["o_orderkey", "o_orderstatus", "part"], exact=True).withColumn("null_frac", F.round("null_frac", 6))
 
 
 @register("analyze_mcv", "SELECT l_suppkey, count(*) AS freq FROM lineitem GROUP BY l_suppkey ORDER BY freq DESC, l_suppkey LIMIT 10")

@@ -67,6 +67,57 @@ def test_violations_and_stats(spark):
     assert rel.histogram_bounds(df, "k", 2) == [1.0, 1.0, 2.0]
 
 
+def test_exclude_takes_numbers_that_are_not_finite_off_again(spark):
+    df = spark.createDataFrame([(1, float("inf")), (2, 1.5), (3, float("nan")), (4, 2.5), (5, float("-inf")), (6, 1e300)], "id int, x double").withColumn("p", F.lit(1))
+    for kind in ("current", "group"):
+        out = rel.frame_exclude(df, ["p"], [F.col("id")], F.col("x"), -1, 1, kind, "s")
+        assert str([r["s"] for r in out.orderBy("id").collect()]) == "[1.5, nan, 4.0, nan, 1e+300, -inf]"
+
+
+@pytest.mark.parametrize("kind", ["current", "group", "ties"])
+@pytest.mark.parametrize(("start", "end"), [(-2, 1), (1, 3), (-4, -1), (Window.unboundedPreceding, 2), (0, Window.unboundedFollowing)])
+def test_exclude_against_plain_rows(spark, kind, start, end):
+    data = [(k, k % 2, k // 6, None if k % 5 == 0 else float(k // 6 * 10)) for k in range(40)]
+    df = spark.createDataFrame(data, "id int, p int, o int, x double")
+    for agg in ("sum", "count", "avg"):
+        got = sorted((r["p"], r["o"], str(r["id"]), str(r["s"])) for r in rel.frame_exclude(df, ["p"], [F.col("o"), F.col("id")] if kind == "current" else [F.col("o")], F.coalesce("x", F.col("o") * 10.0) if kind != "current" else F.col("x"), start, end, kind, "s", agg).collect())
+        want = []
+        for p in (0, 1):
+            part = [r for r in data if r[1] == p]
+            for i, (k, _, o, x) in enumerate(part):
+                stay = [j for j in range(max(0, i + start), min(len(part), i + end + 1)) if (j != i if kind == "current" else part[j][2] != o or kind == "ties" and j == i)]
+                xs = [part[j][3] if kind == "current" else part[j][2] * 10.0 for j in stay]
+                xs = [v for v in xs if v is not None]
+                want.append((p, o, str(k), str(len(xs) if agg == "count" else None if not xs else sum(xs) / (len(xs) if agg == "avg" else 1))))
+        if kind == "current":
+            assert got == sorted(want)
+        else:
+            # Ties come in any order: their values are compared, not their ids.
+            assert sorted((p, o, v) for p, o, _, v in got) == sorted((p, o, v) for p, o, _, v in want)
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 256])
+def test_histogram_bounds_are_exact(spark, ranges):
+    import numpy as np
+
+    values = [float(v) for v in np.random.default_rng(3).integers(0, 50, 500)] + [1e6] * 300 + [-7.25]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    assert rel.histogram_bounds(df, "x", 7, ranges) == pytest.approx(list(np.quantile(values, np.arange(8) / 7)))
+    assert rel.histogram_bounds(df.filter("x IS NULL"), "x", 2, ranges) == [None, None, None]
+
+
+def test_insert_truncate_delete(spark):
+    t = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0)], "k int, s string, v double")
+    assert rows(rel.truncate(t)) == [] and rel.truncate(t).columns == t.columns
+    assert rows(rel.insert(rel.truncate(t), spark.createDataFrame([(3,)], "k int"), {"s": F.lit("d")})) == [(3, "d", None)]
+    stay, go = rel.delete_returning(t, F.col("s") == "a")
+    assert rows(stay) == [(2, None, 2.0)] and rows(go) == [(1, "a", 1.0)]
+
+
+def test_explain_lists_operators(spark):
+    assert any("Filter" in r["plan"] for r in rel.explain(spark.range(9).filter("id > 3")).collect())
+
+
 @pytest.mark.parametrize(
     ("expr", "want"),
     [
@@ -79,6 +130,17 @@ def test_violations_and_stats(spark):
         (lambda: exprs.trunc(F.lit(-2.789), 1), -2.7),
         (lambda: exprs.format_text("%I = %L", F.lit("Mixed"), F.lit("it's")), "\"Mixed\" = 'it''s'"),
         (lambda: exprs.width_bucket(F.lit(5.35), 0.024, 10.06, 5), 3),
+        (lambda: exprs.age(F.lit("2026-08-02"), F.lit("2026-08-01")), "1 day"),
+        (lambda: exprs.age(F.lit("2026-01-15 12:00:00"), F.lit("2026-01-15 10:00:00")), "02:00:00"),
+        (lambda: exprs.age(F.lit("2026-01-15 12:00:00"), F.lit(None).cast("string")), None),
+        (lambda: exprs.age(F.lit("2026-01-01"), F.lit("2026-01-03 00:00:00.25")), "-2 days -00:00:00.25"),
+        (lambda: exprs.interval_text(exprs.make_interval(*[F.lit(v) for v in (0, 0, 0, 1, 2, 0, 0)])), "1 day 02:00:00"),
+        (lambda: exprs.interval_text(exprs.make_interval(*[F.lit(v) for v in (1, 1, 1, 0, 0, 0, 1.5)])), "402 days 00:00:01.5"),
+        (lambda: exprs.justify_hours(F.lit(90_000)), "1 day 01:00:00"),
+        (lambda: exprs.justify_interval(F.lit(40 * 86_400)), "1 mon 10 days"),
+        (lambda: exprs.justify_interval(F.lit(40 * 86_400 + 90_000)), "1 mon 11 days 01:00:00"),
+        (lambda: exprs.justify_interval(F.lit(400 * 86_400)), "1 year 1 mon 10 days"),
+        (lambda: exprs.isfinite(F.lit(float("nan"))), False),
         (lambda: exprs.any_of(F.lit(1), "=", F.array(F.lit(2), F.lit(None).cast("int"))), None),
         (lambda: exprs.all_of(F.lit(1), "<", F.array(F.lit(2), F.lit(3))), True),
         (lambda: exprs.overlaps(F.lit(1), F.lit(3), F.lit(3), F.lit(4)), False),
