@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.pandas.functions import pandas_udf
 
 
@@ -146,3 +147,30 @@ def json_contains(doc: Column, part: Column) -> Column:
         return pd.Series([None if a is None or b is None else _contains(json.loads(a), json.loads(b)) for a, b in zip(docs, parts, strict=True)], dtype="object")
 
     return test(doc, part)
+
+
+def _flag(v) -> bool:
+    return bool(v) if v is not None else False
+
+
+def register_text(spark: SparkSession) -> None:
+    """The functions as ``lk_*`` of SQL text, whose path and value may come from columns; a null argument gives null."""
+
+    def put(name: str, work: Callable[..., object]) -> None:
+        @pandas_udf("string")
+        def edit(*args: pd.Series) -> pd.Series:
+            return pd.Series([None if any(v is None for v in row) else work(*row) for row in zip(*args, strict=True)], dtype="object")
+
+        spark.udf.register(name, edit)
+
+    put("lk_json_set", lambda d, path, value, create: _dump(_set(json.loads(d), _path(path), json.loads(value), _flag(create))))
+    put("lk_json_insert", lambda d, path, value, after: _dump(_insert(json.loads(d), _path(path), json.loads(value), _flag(after))))
+    put("lk_json_delete", lambda d, path: _dump(_delete(json.loads(d), _path(path))))
+    put("lk_json_strip_nulls", lambda d: _dump(_strip(json.loads(d))))
+    put("lk_json_pretty", lambda d: json.dumps(json.loads(d), indent=4, ensure_ascii=False))
+
+    @pandas_udf("boolean")
+    def contains(docs: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else _contains(json.loads(a), json.loads(b)) for a, b in zip(docs, parts, strict=True)], dtype="object")
+
+    spark.udf.register("lk_json_contains", contains)

@@ -2,8 +2,8 @@
 
 Covered: ``::`` casts; ``~ ~* !~ !~*``; SIMILAR TO; ARRAY[...] and 1-based subscripts; op ANY / ALL / SOME of an array or a subquery; ``-> ->> #> #>>``; DISTINCT ON; FETCH FIRST n ROWS ONLY / WITH TIES; the default place of
 nulls in ORDER BY; FILTER before OVER; string_agg and array_agg with ORDER BY; set-returning functions in FROM, with ordinality; EXTRACT(EPOCH), DATE_PART, TO_CHAR, STRPOS, LOG; REGEXP_REPLACE of the first match, or all by flag; TRUNC of numbers, QUOTE_IDENT, QUOTE_LITERAL, QUOTE_NULLABLE, STRING_TO_ARRAY, NUM_NULLS, NUM_NONNULLS, ISFINITE;
-OVERLAPS; ``<->``; OVER () of ranking functions and windows that refine a named one; E'' strings and double-quoted names. Not covered: GROUPS frames and EXCLUDE, edits and containment of JSON, intervals by AGE and MAKE_INTERVAL, AT TIME ZONE, and
-statements other than queries; all of them but the last are functions of ``larkspar.functions`` and ``larkspar.operators``.
+OVERLAPS; ``<->``; OVER () of ranking functions and windows that refine a named one; E'' strings and double-quoted names. edits and containment of JSON (``jsonb_set jsonb_insert jsonb_strip_nulls jsonb_pretty @> <@ #-``), over Arrow batches; ``@> <@ &&`` of arrays, if a side is written ARRAY[...].
+Not covered: GROUPS frames and EXCLUDE, intervals by AGE and MAKE_INTERVAL, AT TIME ZONE, and statements other than queries; all of them but the last are functions of ``larkspar.functions`` and ``larkspar.operators``.
 DISTINCT ON and WITH TIES are taken at the end of a whole query or of a parenthesised one. GROUPS frames and EXCLUDE are in ``larkspar.operators.relational``.
 """
 
@@ -14,11 +14,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspar.functions.exprs import date_pattern, similar_pattern
+from larkspar.functions.json_edit import register_text
 from larkspar.sources.tables import register
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>[eE]?'(?:[^'\\]|''|\\.)*')|(?P<quoted>"(?:[^"]|"")*")|(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"""
-    r"""|(?P<word>[A-Za-z_][A-Za-z_0-9]*(?:\.[A-Za-z_][A-Za-z_0-9]*|\."[^"]*")*)|(?P<param>[$:]\w+)|(?P<op>::|!~\*|!~|~\*|~|\#>>|\#>|<->|->>|->|\|\||<=|>=|<>|!=|.)""",
+    r"""|(?P<word>[A-Za-z_][A-Za-z_0-9]*(?:\.[A-Za-z_][A-Za-z_0-9]*|\."[^"]*")*)|(?P<param>[$:]\w+)|(?P<op>::|!~\*|!~|~\*|~|\#>>|\#>|\#-|@>|<@|&&|<->|->>|->|\|\||<=|>=|<>|!=|.)""",
     re.S | re.X,
 )
 _COMPARE = {"=", "<>", "!=", "<", "<=", ">", ">="}
@@ -223,7 +224,10 @@ def _call(name: str, group: Tok) -> Tok | None:
         null = "0" if name == "num_nonnulls" else "1"
         return _raw("(" + " + ".join(f"(CASE WHEN ({_text(a)}) IS NULL THEN {null} ELSE 1 - {null} END)" for a in args) + ")")
     if name == "isfinite" and len(args) == 1:
-        return _raw(f"(CASE WHEN ({_text(args[0])}) IS NOT NULL THEN TRUE END)")  # dates and timestamps have no infinity here
+        return _raw(f"(CAST(({_text(args[0])}) AS STRING) NOT IN ('Infinity', '-Infinity', 'NaN'))")
+    if name in _JSON_EDITS and 0 <= len(_JSON_EDITS[name][1]) - len(args) <= (_JSON_EDITS[name][1][-1] != ""):
+        function, defaults = _JSON_EDITS[name]
+        return _raw(f"{function}({', '.join([*map(_text, args), *defaults[len(args):]])})")
     if name == "quote_ident" and len(args) == 1:
         x = _text(args[0])
         return _raw(f"(CASE WHEN {x} RLIKE '^[a-z_][a-z0-9_]*$' THEN {x} ELSE concat('\"', replace({x}, '\"', '\"\"'), '\"') END)")
@@ -280,6 +284,29 @@ def _gathered(tokens: list[Tok], at: int) -> tuple[Tok, int]:
 
 
 #: Functions that need an order of their window; without one all rows are peers.
+#: Edits of JSON text: the function, and the defaults of its arguments (empty: it has none).
+_JSON_EDITS = {
+    "jsonb_set": ("lk_json_set", ["", "", "", "TRUE"]),
+    "json_set": ("lk_json_set", ["", "", "", "TRUE"]),
+    "jsonb_insert": ("lk_json_insert", ["", "", "", "FALSE"]),
+    "json_insert": ("lk_json_insert", ["", "", "", "FALSE"]),
+    "jsonb_strip_nulls": ("lk_json_strip_nulls", [""]),
+    "json_strip_nulls": ("lk_json_strip_nulls", [""]),
+    "jsonb_pretty": ("lk_json_pretty", [""]),
+    "json_pretty": ("lk_json_pretty", [""]),
+}
+
+
+def _contained(op: str, left: str, right: str) -> str:
+    """``@>``, ``<@`` and ``&&`` of arrays, if either side is written as one, and else containment of JSON."""
+    whole, part = (left, right) if op != "<@" else (right, left)
+    if re.match(r"array\s*\(", left.strip(), re.I) or re.match(r"array\s*\(", right.strip(), re.I):
+        return f"arrays_overlap({left}, {right})" if op == "&&" else f"forall({part}, __x -> array_contains({whole}, __x))"
+    if op == "&&":
+        raise ValueError("&& is for arrays: write one side as ARRAY[...]")
+    return f"lk_json_contains({whole}, {part})"
+
+
 _RANKING = {"row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead"}
 
 
@@ -311,6 +338,14 @@ def _expressions(tokens: list[Tok]) -> list[Tok]:
         elif low == "<->":
             right, at = _after(tokens, at + 1)
             out.append(_raw(f"sqrt(aggregate(zip_with({_text(_before(out))}, {_text(_expressions(right))}, (__x, __y) -> power(CAST(__x AS DOUBLE) - CAST(__y AS DOUBLE), 2)), 0.0D, (__s, __x) -> __s + __x))"))
+        elif low in ("@>", "<@", "&&"):
+            right, at = _after(tokens, at + 1)
+            while at + 1 < len(tokens) and tokens[at].low == "::":
+                right, at = [*right, *tokens[at : at + 2]], at + 2
+            out.append(_raw(_contained(low, _text(_before(out)), _text(_expressions(right)))))
+        elif low == "#-" and after is not None:
+            out.append(_raw(f"lk_json_delete({_text(_before(out))}, {_text([after])})"))
+            at += 2
         elif low == "overlaps" and after is not None and after.kind == "group" and out and out[-1].inner is not None:
             (a, b), (c, d) = ([_text(x) for x in _split(g.inner)] for g in (out.pop(), after))
             out.append(_raw(f"(least({a}, {b}) < greatest({c}, {d}) AND least({c}, {d}) < greatest({a}, {b}))"))
@@ -416,4 +451,6 @@ def pg_sql(spark: SparkSession, query: str, args: list | None = None, sf_dir: st
     if sf_dir is not None:
         register(spark, sf_dir, query)
     text = to_spark(query)
+    if "lk_json_" in text:
+        register_text(spark)
     return spark.sql(text, args={f"p{k + 1}": v for k, v in enumerate(args)}) if args else spark.sql(text)

@@ -26,3 +26,8 @@ pg("pg_window_refined", "SELECT o_orderkey, sum(o_orderkey) OVER (w ORDER BY o_o
 pg("pg_num_nulls", "SELECT p_partkey, num_nulls(nullif(p_size, 1), p_name, NULL) AS n, num_nonnulls(nullif(p_size, 1), p_name) AS m FROM part", "SELECT p_partkey, CAST(CASE WHEN p_size = 1 THEN 2 ELSE 1 END AS INTEGER) AS n, CAST(CASE WHEN p_size = 1 THEN 1 ELSE 2 END AS INTEGER) AS m FROM part")
 pg("pg_quote", "SELECT r_regionkey, quote_ident(r_name) AS i, quote_literal(r_name || '''') AS l FROM region", "SELECT r_regionkey, '\"' || r_name || '\"' AS i, '''' || r_name || '''''''' AS l FROM region")
 pg("pg_vector_distance", "SELECT vec_id, round(embedding <-> embedding, 5) AS d FROM embeddings", "SELECT vec_id, CAST(0 AS DOUBLE) AS d FROM embeddings")
+pg("pg_json_contains", "SELECT event_id FROM events WHERE props::jsonb @> '{\"k\":5}'::jsonb OR '{\"k\":7}'::jsonb <@ props::jsonb", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('5', '7')")
+pg("pg_array_contains", "SELECT n_nationkey, ARRAY[n_nationkey, n_regionkey] @> ARRAY[1, 2] AS c, ARRAY[n_nationkey, n_regionkey] && ARRAY[0, 1] AS o FROM nation", "SELECT n_nationkey, n_regionkey IN (1, 2) AND n_nationkey IN (1, 2) AND n_nationkey <> n_regionkey AS c, n_regionkey < 2 OR n_nationkey < 2 AS o FROM nation")
+pg("pg_jsonb_set", "SELECT event_id, jsonb_set(props, '{k}', '[9]') AS a, jsonb_set(props, '{n}', event_id::text) AS b, jsonb_insert('{\"a\":[1,2]}', '{a,1}', '7') AS c FROM events", "SELECT event_id, '{\"k\":[9]}' AS a, '{\"k\":' || (props ->> '$.k') || ',\"n\":' || event_id || '}' AS b, '{\"a\":[1,7,2]}' AS c FROM events")
+pg("pg_json_delete", "SELECT event_id, props #- '{k}' AS a, jsonb_strip_nulls('{\"a\":null,\"b\":1}') AS b FROM events", "SELECT event_id, '{}' AS a, '{\"b\":1}' AS b FROM events")
+pg("pg_isfinite", "SELECT o_orderkey, isfinite(CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity'::double precision WHEN o_orderkey % 3 = 1 THEN o_totalprice END) AS f FROM orders")
